@@ -37,7 +37,7 @@ def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
         rows = zip(texts, starts, counts, strict=True)
         return pd.Series([None if s is None else b" ".join(substring_dedup.kept_words(t, s, n)[0]).decode("utf-8") for t, s, n in rows], dtype=object)
 
-    cut = substring_dedup.cut(docs)
+    cut = substring_dedup.cut(spark, docs)
     text = F.when(F.col("__starts").isNull(), F.col("text")).otherwise(kept("text", "__starts", "__counts"))
     return _with_text(cut, text).select(*docs.columns)
 

@@ -52,6 +52,42 @@ def crc_of_id(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string"))
 
 
+def saved(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as a table in the shared folder and read again, and the table's path."""
+    path = shared_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Removes tables written by saved() once nothing reads them any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: 64-bit words of a key bitmap; it is broadcast, and is never larger than this.
+BITMAP_WORDS = 1 << 17
+
+
+def _bit(keys) -> tuple:
+    h = F.xxhash64(*keys)
+    return h.bitwiseAND(F.lit(BITMAP_WORDS - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63)).cast("int"))
+
+
+def maybe_among(df: DataFrame, keys: list[str], others: DataFrame, flag: str = "__maybe") -> DataFrame:
+    """df with a boolean: false where the keys are surely not in `others`.
+
+    Rows that can't match then need no shuffle; the join that follows is exact. The
+    bitmap has BITMAP_WORDS rows at most, whatever the size of `others`.
+    """
+    word, bit = _bit(keys)
+    bitmap = others.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    held = df.withColumn("__own_word", word).join(F.broadcast(bitmap), F.col("__own_word") == F.col("__word"), "left")
+    return held.withColumn(flag, F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__own_word", "__word", "__bits")
+
+
 class WordBpe:
     """Ids of the word-end BPE, by a bounded cache of words.
 

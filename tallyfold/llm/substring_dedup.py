@@ -14,7 +14,7 @@ A window's identity is two independent 64-bit hashes (k-mer and stretch or windo
 
 Defined cases: a null text has no words; texts under 50 words lose nothing; rows
 without doc_id are left out; windows repeated inside one document are kept; rows with
-the same doc_id are one source and each gives a row.
+the same doc_id each give a row, and none is earlier than the other.
 """
 
 import hashlib
@@ -113,15 +113,25 @@ def stretches(hasher: WordHashes, words: list[bytes], window: int = WINDOW, kmer
     return first, count, key[place].view(np.int64), whole.view(np.int64)
 
 
+#: A place in a document as one number: the row's tag (31 bits), first window (27) and windows (5).
+TAG_BITS, AT_BITS, COUNT_BITS = 31, 27, 5
+
+
+def _tagged(docs: DataFrame) -> DataFrame:
+    """docs with a tag of the text, which tells rows with the same doc_id apart."""
+    return docs.withColumn("__tag", F.crc32(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit((1 << TAG_BITS) - 1)))
+
+
 def _walks(batches):
     hasher = WordHashes()
     for batch in batches:
         parts = []
-        for doc, text in zip(batch.doc_id, batch.text, strict=True):
+        for doc, text, tag in zip(batch.doc_id, batch.text, batch["__tag"], strict=True):
             words = text.encode("utf-8", "replace").split()
             if len(words) >= WINDOW:
                 first, count, kmer, whole = stretches(hasher, words)
-                parts.append(pd.DataFrame({"kmer": kmer, "whole": whole, "doc_id": doc, "at": first.astype(np.int32), "n": count.astype(np.int32)}))
+                place = ((int(tag) << AT_BITS) + first << COUNT_BITS) + count
+                parts.append(pd.DataFrame({"kmer": kmer, "whole": whole, "doc_id": doc, "place": place}))
         if parts:
             yield pd.concat(parts, ignore_index=True)
 
@@ -130,11 +140,12 @@ def _windows(batches):
     hasher = WordHashes()
     for batch in batches:
         parts = []
-        for doc, text, at, n, kmer in zip(batch.doc_id, batch.text, batch["at"], batch.n, batch.kmer, strict=True):
+        for doc, tag, text, at, n, kmer in zip(batch.doc_id, batch["__tag"], batch.text, batch["at"], batch.n, batch.kmer, strict=True):
             words = text.encode("utf-8", "replace").split()
             sums = hasher.sums(hasher(words)[1], 1)
             starts = np.repeat(at, n) + np.concatenate([np.arange(k) for k in n])
-            parts.append(pd.DataFrame({"kmer": np.repeat(kmer, n), "win": hasher.spans(sums, starts, starts + WINDOW, 1).view(np.int64), "doc_id": doc, "at": starts.astype(np.int32)}))
+            win = hasher.spans(sums, starts, starts + WINDOW, 1).view(np.int64)
+            parts.append(pd.DataFrame({"kmer": np.repeat(kmer, n), "win": win, "doc_id": doc, "tag": tag, "at": starts.astype(np.int32)}))
         if parts:
             yield pd.concat(parts, ignore_index=True)
 
@@ -150,27 +161,52 @@ def kept_words(text: str, starts: list[int], counts: list[int]) -> tuple[list[by
     return [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)], len(words)
 
 
-def covered(docs: DataFrame) -> DataFrame:
-    """doc_id, starts, counts: the windows of each document that start in an earlier one."""
-    texts = common.keyed_texts(docs)
-    walk = texts.mapInPandas(_walks, "kmer long, whole long, doc_id long, at int, n int").checkpoint()
-    paths = walk.groupBy("kmer", "whole").agg(F.min(F.struct("doc_id", "at", "n")).alias("src"), F.max("doc_id").alias("last")).select("kmer", "whole", "src", "last")
-    # k-mers that branch between documents: their stretches are not all one
-    edges = paths.groupBy("kmer").agg(F.count("*").alias("paths"), F.min("src.doc_id").alias("lo"), F.max("last").alias("hi")).where("paths > 1 and lo < hi").select("kmer")
-    repeated = paths.where("last > src.doc_id").select("kmer", "whole", F.col("src.doc_id").alias("src_doc"))
-    whole = walk.join(repeated, ["kmer", "whole"]).where("doc_id > src_doc").select("doc_id", "at", "n")
-    ends = paths.join(edges, "kmer").groupBy("src.doc_id").agg(F.collect_list(F.struct(F.col("src.at").alias("at"), F.col("src.n").alias("n"), "kmer")).alias("e"))
-    ends = ends.select("doc_id", F.col("e.at").alias("at"), F.col("e.n").alias("n"), F.col("e.kmer").alias("kmer"))
-    singles = texts.dropDuplicates(["doc_id"]).join(ends, "doc_id").select("doc_id", "text", "at", "n", "kmer").mapInPandas(_windows, "kmer long, win long, doc_id long, at int").checkpoint()
-    seen = singles.groupBy("kmer", "win").agg(F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("last")).where("last > src_doc").select("kmer", "win", "src_doc")
-    parts = singles.join(seen, ["kmer", "win"]).where("doc_id > src_doc").select("doc_id", "at", F.lit(1).alias("n"))
-    return whole.union(parts).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("w")).select("doc_id", F.col("w.at").alias("starts"), F.col("w.n").alias("counts"))
+def _placed(column: str) -> list:
+    """tag, at and n of a place."""
+    at = F.shiftright(column, COUNT_BITS).bitwiseAND(F.lit((1 << AT_BITS) - 1)).cast("int")
+    return [F.shiftright(column, AT_BITS + COUNT_BITS).alias("tag"), at.alias("at"), F.col(column).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int").alias("n")]
+
+
+def covered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, tag, starts, counts: the windows of each document that start in an earlier one.
+
+    Every shuffle but the first carries only rows whose key a bitmap holds. What is
+    written on the way is removed; the result is a table of its own.
+    """
+    texts = _tagged(common.keyed_texts(docs))
+    walk, walk_at = common.saved(spark, texts.mapInPandas(_walks, "kmer long, whole long, doc_id long, place long"), "walk")
+    found = walk.groupBy("kmer", "whole").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min_by("place", "doc_id").alias("place"))
+    paths, paths_at = common.saved(spark, found, "paths")
+    # stretches that stand in several documents: whole stretches of the later ones are covered
+    repeated = paths.where("hi > lo").select("kmer", "whole", "lo")
+    whole = common.maybe_among(walk, ["kmer", "whole"], repeated).where("__maybe").join(repeated, ["kmer", "whole"]).where("doc_id > lo").select("doc_id", *_placed("place"))
+    # k-mers that branch between documents: single windows of their stretches may be shared
+    edges, edges_at = common.saved(spark, paths.groupBy("kmer").agg(F.count("*").alias("paths"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("paths > 1 and lo < hi").select("kmer"), "edges")
+    ends = common.maybe_among(paths, ["kmer"], edges).where("__maybe").join(edges, "kmer").select(F.col("lo").alias("doc_id"), *_placed("place"), "kmer")
+    ends = ends.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n", "kmer")).alias("e")).select("doc_id", "tag", F.col("e.at").alias("at"), F.col("e.n").alias("n"), F.col("e.kmer").alias("kmer"))
+    ends, ends_at = common.saved(spark, ends, "ends")
+    near = common.maybe_among(texts, ["doc_id"], ends).where("__maybe").drop("__maybe").withColumnRenamed("doc_id", "doc")
+    near = near.join(ends, (near.doc == ends.doc_id) & (near["__tag"] == ends.tag)).select("doc_id", "__tag", "text", "at", "n", "kmer")
+    singles, singles_at = common.saved(spark, near.mapInPandas(_windows, "kmer long, win long, doc_id long, tag long, at int"), "windows")
+    seen = singles.groupBy("kmer", "win").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("hi > lo").select("kmer", "win", "lo")
+    parts = singles.join(seen, ["kmer", "win"]).where("doc_id > lo").select("doc_id", "tag", "at", F.lit(1).alias("n"))
+    spans = whole.union(parts).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n")).alias("w"))
+    out, _ = common.saved(spark, spans.select("doc_id", "tag", F.col("w.at").alias("starts"), F.col("w.n").alias("counts")), "spans")
+    common.remove(spark, walk_at, paths_at, edges_at, ends_at, singles_at)
+    return out
+
 
+def cut(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with __starts and __counts of the windows to cut (null: none).
 
-def cut(docs: DataFrame) -> DataFrame:
-    """docs with __starts and __counts of the windows to cut (null: none), by doc_id."""
-    spans = covered(docs).toDF("__doc", "__starts", "__counts")
-    return docs.join(spans, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    Only documents that may have such windows are joined with them.
+    """
+    spans = covered(spark, docs).toDF("__doc", "__span_tag", "__starts", "__counts")
+    held = common.maybe_among(_tagged(docs), ["doc_id"], spans.select(F.col("__doc").alias("doc_id"))).drop("__bits")
+    some = held.where("__maybe").join(spans, (F.col("doc_id") == F.col("__doc")) & (F.col("__tag") == F.col("__span_tag")), "left")
+    none = held.where("NOT __maybe").withColumn("__starts", F.lit(None).cast("array<int>")).withColumn("__counts", F.lit(None).cast("array<int>"))
+    columns = [*docs.columns, "__starts", "__counts"]
+    return some.select(*columns).union(none.select(*columns))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +223,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "kept_sha256": [hashlib.sha256(b" ".join(k)).hexdigest() for k, _ in rows],
             })
 
-    return cut(docs).select("doc_id", "text", "__starts", "__counts").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return cut(spark, docs).select("doc_id", "text", "__starts", "__counts").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 SQL = r"""
