@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import tempfile
 import uuid
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -88,58 +91,118 @@ def maybe_among(df: DataFrame, keys: list[str], others: DataFrame, flag: str = "
     return held.withColumn(flag, F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__own_word", "__word", "__bits")
 
 
+#: The word-end vocabulary's pattern between white space, over characters up to U+024F in lower case.
+_PIECE = re.compile(
+    r"[a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9\xb2\xb3\xb9\xbc-\xbe]"
+    r"|[^\s\xa0\x85a-z0-9\xaa\xb2\xb3\xb5\xb9-\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-ɏ]+"
+)
+_BEYOND = re.compile("[ɐ-\U0010ffff\x1c-\x1f]")
+
+
+class _Index(dict):
+    """Numbers keys as they are first looked up, and keeps the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
 class WordBpe:
-    """Ids of the word-end BPE, by a bounded cache of words.
+    """Ids of the word-end BPE, by a bounded cache of the pieces its pattern cuts.
 
-    The vocabulary's pattern never matches white space, so a text's ids are those
-    of its space-separated words one after the other.
+    The pattern never matches white space, so a text's ids are those of its pieces one
+    after the other. New pieces are encoded together, joined by spaces; each ends with
+    a token that has the word-end mark. Words with characters beyond U+024F, whose case
+    or normal form may be less plain, are encoded one by one, and texts with the
+    characters that only Python takes for white space as they are.
     """
 
-    def __init__(self, path: str, most_words: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most_words = most_words
+        # plain pieces are lower case and whole already
+        plain = json.loads(self.tokenizer.to_str())
+        plain["normalizer"] = None
+        plain["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+        self.plain = Tokenizer.from_str(json.dumps(plain))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.most = most
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.flat = np.empty(1 << 16, dtype=np.uint32)
         self.used = 0
         self.starts = np.empty(1 << 14, dtype=np.int64)
         self.lengths = np.empty(1 << 14, dtype=np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        ids = [e.ids for e in encoded]
-        counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        total, first = int(counts.sum()), len(self.index)
-        while self.used + total > len(self.flat):
+    def _add(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while first + len(words) > len(self.starts):
+        while len(self.index) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=total)
-        self.starts[first : first + len(words)] = self.used + np.cumsum(counts) - counts
-        self.lengths[first : first + len(words)] = counts
-        self.used += total
-        self.index.update(zip(words, range(first, first + len(words)), strict=True))
+        at = np.fromiter(map(self.index.__getitem__, keys), dtype=np.int64, count=len(keys))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[at] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[at] = lengths
+        self.used += len(ids)
+
+    def _learn(self, keys: list[str], step: int = 256) -> None:
+        for k in range(0, len(keys), step):
+            some = keys[k : k + step]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                self._add(some, ids, np.diff(ends, prepend=0))
+            else:
+                self._learn_each(some)
+
+    def _learn_each(self, keys: list[str]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([k.removeprefix(" ") for k in keys], add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        self._add(keys, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lengths.sum())), lengths)
+
+    @staticmethod
+    def _keys(text: str) -> list[str]:
+        """The pieces of a text; a word that isn't plain is one key, with a space before it, and so is such a text."""
+        if not _BEYOND.search(text):
+            return _PIECE.findall(text.lower())
+        if any(c in text for c in _ODD_SPACES):
+            return [" " + text]
+        out: list[str] = []
+        for word in text.split():
+            out.extend([" " + word] if _BEYOND.search(word) else _PIECE.findall(word.lower()))
+        return out
+
+    def encode_many(self, texts) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self.index) > self.most:
+            self._clear()
+        find, places, out = self.index.__getitem__, [], []
+        for text in texts:
+            keys = self._keys(text)
+            places.append(np.fromiter(map(find, keys), dtype=np.int64, count=len(keys)))
+        if new := self.index.new:
+            self._learn([k for k in new if k[0] != " "])
+            if odd := [k for k in new if k[0] == " "]:
+                self._learn_each(odd)
+            self.index.new.clear()
+        for at in places:
+            lengths = self.lengths[at]
+            ends = np.cumsum(lengths)
+            out.append(self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)])
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        if any(c in text for c in _ODD_SPACES):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        words = text.split()
-        if not words:
-            return np.empty(0, dtype=np.uint32)
-        new = list(set(words).difference(self.index))
-        if new:
-            if len(self.index) + len(new) > self.most_words:
-                self._clear()
-                new = list(set(words))
-            self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
-        lengths = self.lengths[at]
-        shift = self.starts[at] - (np.cumsum(lengths) - lengths)
-        return self.flat[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))]
+        return self.encode_many([text])[0]

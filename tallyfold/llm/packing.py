@@ -33,8 +33,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
         bpe = common.WordBpe(path)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.doc_id, batch.text, strict=True):
-                ids = np.append(bpe.encode(text), np.uint32(end_id)).astype("<u4")
+            for doc, ids in zip(batch.doc_id, bpe.encode_many(list(batch.text)), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 rows += [(doc, k, at, len(part := ids[at : at + capacity]), zlib.crc32(part.tobytes())) for k, at in enumerate(range(0, len(ids), capacity))]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 

@@ -231,7 +231,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
     def encode(batches):
         bpe = common.WordBpe(tokenizer)
         for batch in batches:
-            ids = [np.append(bpe.encode(t), np.uint32(end_id)).astype("<u2").tobytes() for t in batch.text]
+            ids = [np.append(x, np.uint32(end_id)).astype("<u2").tobytes() for x in bpe.encode_many(list(batch.text))]
             yield pd.DataFrame({"shard": np.searchsorted(bounds, batch.doc_id.to_numpy()).astype(np.int32), "doc_id": batch.doc_id, "ids": ids})
 
     def write(batches):

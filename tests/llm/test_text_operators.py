@@ -197,9 +197,14 @@ def test_word_bpe_equals_library():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(common.tokenizer_path("word_bpe_49k.json"))
-    bpe = common.WordBpe(common.tokenizer_path("word_bpe_49k.json"), most_words=50)
+    bpe = common.WordBpe(common.tokenizer_path("word_bpe_49k.json"), most=50)
     for _, t, *_ in helpers.rows(80, seed=9) + [(0, "é ́x ÁB c İI ΑΣ ΑΣ's don't 12ab34 ẛ̣ <x>|y", None, None, None)]:
         assert bpe.encode(t or "").tolist() == tok.encode(t or "", add_special_tokens=False).ids
+    r = random.Random(2)
+    alphabet = "aB'sStT12é Ñß.\u00b2\u00bd\u01c5,\n-_\u0301ΣσÅ\u212b\u0085\u00a0日<|>"
+    texts = ["".join(r.choice(alphabet) for _ in range(300)) for _ in range(60)]
+    for got, t in zip(bpe.encode_many(texts), texts, strict=True):
+        assert got.tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
 def test_sstable_round_trip_and_lookup(spark, folder, data, tmp_path):
