@@ -114,12 +114,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = dealt.groupBy("bucket").agg(F.max("doc_id").alias("head"))
     order = Window.orderBy("bucket")
     heads = heads.select("head", F.lead("bucket").over(order).alias("up"), F.first("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("lowest"))
-    # a few rows: one a bucket of ROWS_PER_BUCKET documents
-    heads = heads.select("head", F.coalesce("up", "lowest").alias("guest_of"), F.col("up").isNull().alias("wraps"))
-    home = dealt.join(heads, dealt.doc_id == heads["head"], "left")
-    own = F.struct(F.col("bucket"), F.lit(0).alias("guest"))
-    guest = F.struct(F.col("guest_of").alias("bucket"), F.when(F.col("wraps"), 2).otherwise(1).alias("guest"))
-    placed = home.select("doc_id", "text", F.explode(F.when(F.col("head").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("at")).select("doc_id", "text", "at.bucket", "at.guest")
+    heads = heads.select("head", F.coalesce("up", "lowest").alias("guest_of"), F.when(F.col("up").isNull(), 2).otherwise(1).alias("guest"))
+    own = dealt.withColumn("guest", F.lit(0))
+    guests = common.maybe_among(texts.withColumnRenamed("doc_id", "head"), ["head"], heads).where("__maybe").join(heads, "head")
+    placed = own.union(guests.select(F.col("head").alias("doc_id"), "text", F.col("guest_of").alias("bucket"), "guest"))
     vectors = with_vector(placed.repartition(F.col("bucket")), "text", "v")
     w = Window.partitionBy("bucket").orderBy("guest", F.desc("doc_id"), "text")
     return vectors.select("doc_id", "text", "v", "guest", F.lead("text").over(w).alias("next_text"), F.lead("v").over(w).alias("next_v")).where("guest = 0").drop("guest")
