@@ -26,6 +26,9 @@ CANDIDATE = (
     r"|(?<=(?i:password|passwd|pwd|secret|api_key|apikey|token)(?: ?[=:] ?[\"']?))[^\s\"'\x01]{6,}"
     r"|(?<![A-Za-z0-9+/_=.\-])(?=[A-Za-z+/_=.\-]{0,80}[0-9])[A-Za-z0-9_][A-Za-z0-9+/_=.\-]{15,}"
 )
+#: What a text with a candidate has in any case; scans begin at a digit or a fixed string, so other texts pass quickly.
+LONG_NUMBERED = r"[0-9](?:(?=[A-Za-z0-9+/_=.\-]{8})|(?<=[A-Za-z0-9+/_=.\-]{9}))"
+ASSIGNED = r"(?i)(?:password|passwd|pwd|secret|api_key|apikey|token) ?[=:]"
 DICTIONARY = "about account admin after application back before build cache change check class client code common config content count current data default document error event example field file first format from function group home image index info item last level line link list local login main make message method model module name network node number object option order other output page path process project public query record release remote report request result return root script server service session source start state status string system table target temp test text there this time type update user value version view with word work world write".split()
 FEATURES = ("length", "transitions", "digits", "upper", "dictionary", "path", "secret_word", "plain_word", "assigned", "quoted", "hex", "prefix", "placeholder", "distinct")
 N_LABELLED = 6000
@@ -125,7 +128,10 @@ def train(spark: SparkSession, labelled: DataFrame | None = None) -> str:
 def scan(docs: DataFrame, forest: str, text: str = "text") -> DataFrame:
     """docs with __scan: n_candidates, findings (ordinal, sha256, length, score), redacted text."""
     plain = F.coalesce(F.col(text), F.lit(""))
-    marked = F.regexp_replace(F.translate(plain, MARK, " "), CANDIDATE, f"{MARK}$0{MARK}")
+    clear = F.translate(plain, MARK, " ")
+    sign = F.contains(plain, F.lit("=")) | F.contains(plain, F.lit(":"))
+    worth = plain.rlike(LONG_NUMBERED) | (sign & plain.rlike(ASSIGNED)) | F.contains(plain, F.lit("PRIVATE KEY-----"))
+    marked = F.when(worth, F.regexp_replace(clear, CANDIDATE, f"{MARK}$0{MARK}")).otherwise(clear)
     pieces = docs.withColumn("__pieces", F.split(marked, MARK, -1))
     numbers = F.transform("__pieces", lambda p, i: F.when(i % 2 == 1, F.array(*feature_columns(p, F.right(F.get("__pieces", i - 1), F.lit(40)), F.left(F.get("__pieces", i + 1), F.lit(4))))))
     scored = pieces.withColumn("__numbers", numbers).withColumn("__scores", F.expr(f"transform(__numbers, f -> CASE WHEN f IS NULL THEN 0D ELSE {forest} END)"))

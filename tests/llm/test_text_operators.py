@@ -341,6 +341,19 @@ def test_secret_scan(spark):
     assert out[0]["__scan"]["findings"][0]["sha256"] == hashlib.sha256(h.encode()).hexdigest()
 
 
+def test_texts_without_signs_have_no_candidates(spark):
+    """What lets a text pass quickly never hides a candidate."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    alphabet = ["a", "Z", "7", "0", "_", "-", "/", "+", ".", "=", " ", " ", "\n", "token", "secret=", "pwd: ", "abcdefgh", "-----BEGIN RSA PRIVATE KEY-----"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(3, 30))) for _ in range(1500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: x.n for x in secret_scan.scan(df, "0D").select("doc_id", F.col("__scan.n_candidates").alias("n")).collect()}
+    want = {x.doc_id: x.n for x in df.select("doc_id", F.regexp_count("text", F.lit(secret_scan.CANDIDATE)).alias("n")).collect()}
+    assert got == want and 100 < sum(n > 0 for n in want.values()) < 1400
+
+
 def test_secret_forest_holds_out(spark):
     """Trained on two thirds of the labelled findings, right on the rest; its SQL votes as the trees do."""
     from pyspark.sql import functions as F
