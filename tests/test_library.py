@@ -231,3 +231,18 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 3
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_club_import(spark, tmp_path):
+    from tallyfold.sources import club
+
+    (tmp_path / "in.csv").write_text('match_type,played_at,side_a,side_b,winner_side,games\nsingles,2024-01-05,Ann Lee,Bob,a,"21-15,21-18"\nsingles,2024-01-06,Ann Lee,Bob,a,"21-20,21-18"\ndoubles,2024-01-07,Ann Lee|Cee,Bob|Dee,b,"21-15,10-21,19-21"\nsingles,soon,Ann,Bob,a,"21-1,21-2"\nsingles,2024-01-05,ann  lee,Ann Lee,a,"21-1,21-2"\n')
+    got = club.import_csv(spark, str(tmp_path / "in.csv"), F.lit("2024-06-30").cast("date"))
+    assert sorted(r.line_no for r in got.accepted.collect()) == [2, 4]
+    assert {r.line_no: r.reason for r in got.quarantined.collect()} == {3: "score", 5: "date", 6: "duplicate_player"}
+    assert {r.name for r in got.players.collect()} == {"Ann Lee", "Bob", "Cee", "Dee"}
+    assert club.match_table(got.accepted).first().winner == "Ann Lee"
+    club.store(got, str(tmp_path / "db"))
+    assert spark.read.parquet(str(tmp_path / "db" / "match_games")).count() == 5
+    roster = spark.createDataFrame([("ann leee", "Ann Leee")], "key string, name string")
+    assert [r.key for r in club.near_twins(got.players, roster).collect()] == ["ann lee"]
