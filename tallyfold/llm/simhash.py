@@ -1,7 +1,8 @@
 """Near-duplicate groups by SimHash fingerprints and pigeonhole blocks.
 
 Fingerprints at most 4 bits apart leave at least 2 of 6 blocks untouched, so they
-meet under one of the 15 pairs of blocks. Equal fingerprints are one node. In each
+meet under one of the 15 pairs of blocks; other distances take other blocks
+(`even_blocks`: 9 blocks, 3 of them kept, for 6 bits). Equal fingerprints are one node. In each
 block bucket every node is first held against the bucket's smallest node (a star, one
 row a node); only buckets that still hold several components are then joined, and
 only nodes outside the bucket's smallest component are held against the others. No
@@ -27,6 +28,12 @@ DISTANCE = 4
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 
 
+def even_blocks(n: int) -> list[tuple[int, int]]:
+    """64 bits cut into n blocks of nearly equal size."""
+    edges = [64 * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def block_masks(blocks=BLOCKS, distance: int = DISTANCE) -> list[int]:
     """Masks that keep len(blocks) - distance whole blocks, as signed 64-bit numbers."""
     single = [((1 << n) - 1) << at for at, n in blocks]
@@ -86,21 +93,22 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _keys(nodes: DataFrame, *keep: str) -> DataFrame:
-    masked = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(block_masks())]
-    return nodes.select("node", "fp", *keep, F.explode(F.array(*masked)).alias("key")).select("node", "fp", *keep, "key.t", "key.k")
+def _keys(nodes: DataFrame, masks: list[int], *keep: str) -> DataFrame:
+    held = nodes.select("node", "fp", *keep, F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("t", "mask"))
+    return held.select("node", "fp", *keep, "t", F.col("fp").bitwiseAND(F.col("mask")).alias("k"))
 
 
-def component_table(nodes: DataFrame) -> DataFrame:
-    """(node, component) for nodes (node, fp) of distinct fingerprints."""
-    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= DISTANCE
-    keyed = _keys(nodes)
+def component_table(nodes: DataFrame, distance: int = DISTANCE, blocks=BLOCKS) -> DataFrame:
+    """(node, component) for nodes (node, fp) of distinct fingerprints; there must be more blocks than bits of distance."""
+    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= distance
+    masks = block_masks(blocks, distance)
+    keyed = _keys(nodes, masks)
     centres = keyed.groupBy("t", "k").agg(F.min_by(F.struct("node", "fp"), "node").alias("c"), F.count("*").alias("n")).where("n > 1").select("t", "k", F.col("c.node").alias("c_node"), F.col("c.fp").alias("c_fp"))
     stars = keyed.join(centres, ["t", "k"]).where((F.col("node") != F.col("c_node")) & near(F.col("fp"), F.col("c_fp"))).select(F.col("node").alias("a"), F.col("c_node").alias("b")).distinct().checkpoint()
     first = connected(stars)
     labelled = nodes.join(first, "node", "left").select("node", "fp", F.coalesce("label", "node").alias("label")).checkpoint()
 
-    keyed = _keys(labelled, "label")
+    keyed = _keys(labelled, masks, "label")
     mixed = keyed.groupBy("t", "k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("t", "k", "low")
     held = keyed.join(mixed, ["t", "k"])
     left = held.where("label > low").select("t", "k", F.col("fp").alias("fp_a"), F.col("label").alias("a"))
@@ -110,12 +118,12 @@ def component_table(nodes: DataFrame) -> DataFrame:
     return labelled.join(second, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE, blocks=BLOCKS) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable)."""
     common.prepare(spark)
     prints = fingerprints(docs).checkpoint()
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", "fp").checkpoint()
-    parts = nodes.join(component_table(nodes), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    parts = nodes.join(component_table(nodes, distance, blocks), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(parts, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -98,7 +98,7 @@ def brute_simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
-def brute_components(prints):
+def brute_components(prints, distance=4):
     label = {d: d for d in prints}
 
     def root(d):
@@ -109,7 +109,7 @@ def brute_components(prints):
     ids = sorted(prints)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= 4:
+            if (prints[a] ^ prints[b]).bit_count() <= distance:
                 x, y = sorted((root(a), root(b)))
                 label[y] = x
     return {d: root(d) for d in ids}
@@ -122,22 +122,22 @@ def test_simhash_equals_brute_force(spark, data, folder):
     assert got == {d: (f"{prints[d]:016x}", parts[d]) for d in prints}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components_of_planted_fingerprints(spark, seed):
+@pytest.mark.parametrize(("seed", "distance", "blocks"), [(0, 4, 6), (1, 4, 6), (2, 4, 6), (3, 6, 9)])
+def test_components_of_planted_fingerprints(spark, seed, distance, blocks):
     """Chains, dense balls and lone nodes: as brute force over all pairs."""
     r = random.Random(seed)
     base, prints = [r.getrandbits(64) for _ in range(6)], set()
     for b in base:
         x = b
         for _ in range(60):
-            x ^= sum(1 << k for k in r.sample(range(64), r.choice([1, 2, 4, 5])))
+            x ^= sum(1 << k for k in r.sample(range(64), r.choice([1, 2, distance, distance + 1])))
             prints.add(x)
-            prints.add(b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 5))))
+            prints.add(b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, distance + 1))))
     prints = {i: p for i, p in enumerate(sorted(prints))}
     nodes = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in prints.items()], "node long, fp long")
     common.prepare(spark)
-    got = {r.node: r.component for r in simhash.component_table(nodes).collect()}
-    assert got == brute_components(prints)
+    got = {r.node: r.component for r in simhash.component_table(nodes, distance, simhash.BLOCKS if distance == simhash.DISTANCE else simhash.even_blocks(blocks)).collect()}
+    assert got == brute_components(prints, distance)
 
 
 def test_packing_is_whole_and_tight(spark, folder, data):
