@@ -95,7 +95,8 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def _keys(nodes: DataFrame, masks: list[int], *keep: str) -> DataFrame:
     held = nodes.select("node", "fp", *keep, F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("t", "mask"))
-    return held.select("node", "fp", *keep, "t", F.col("fp").bitwiseAND(F.col("mask")).alias("k"))
+    # a 32-bit hash of mask and block values is less to shuffle; where two meet by chance, the distance tells
+    return held.select("node", "fp", *keep, F.hash("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("k"))
 
 
 def component_table(nodes: DataFrame, distance: int = DISTANCE, blocks=BLOCKS) -> DataFrame:
@@ -103,17 +104,17 @@ def component_table(nodes: DataFrame, distance: int = DISTANCE, blocks=BLOCKS) -
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= distance
     masks = block_masks(blocks, distance)
     keyed = _keys(nodes, masks)
-    centres = keyed.groupBy("t", "k").agg(F.min_by(F.struct("node", "fp"), "node").alias("c"), F.count("*").alias("n")).where("n > 1").select("t", "k", F.col("c.node").alias("c_node"), F.col("c.fp").alias("c_fp"))
-    stars = keyed.join(centres, ["t", "k"]).where((F.col("node") != F.col("c_node")) & near(F.col("fp"), F.col("c_fp"))).select(F.col("node").alias("a"), F.col("c_node").alias("b")).distinct().checkpoint()
+    centres = keyed.groupBy("k").agg(F.min_by(F.struct("node", "fp"), "node").alias("c"), F.count("*").alias("n")).where("n > 1").select("k", F.col("c.node").alias("c_node"), F.col("c.fp").alias("c_fp"))
+    stars = keyed.join(centres, "k").where((F.col("node") != F.col("c_node")) & near(F.col("fp"), F.col("c_fp"))).select(F.col("node").alias("a"), F.col("c_node").alias("b")).distinct().checkpoint()
     first = connected(stars)
     labelled = nodes.join(first, "node", "left").select("node", "fp", F.coalesce("label", "node").alias("label")).checkpoint()
 
     keyed = _keys(labelled, masks, "label")
-    mixed = keyed.groupBy("t", "k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("t", "k", "low")
-    held = keyed.join(mixed, ["t", "k"])
-    left = held.where("label > low").select("t", "k", F.col("fp").alias("fp_a"), F.col("label").alias("a"))
-    right = held.select("t", "k", "fp", F.col("label").alias("b"))
-    cross = left.join(right, (left.t == right.t) & (left.k == right.k) & (F.col("b") < F.col("a")) & near(F.col("fp_a"), F.col("fp"))).select("a", "b").distinct().checkpoint()
+    mixed = keyed.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("k", "low")
+    held = keyed.join(mixed, "k")
+    left = held.where("label > low").select("k", F.col("fp").alias("fp_a"), F.col("label").alias("a"))
+    right = held.select("k", "fp", F.col("label").alias("b"))
+    cross = left.join(right, (left.k == right.k) & (F.col("b") < F.col("a")) & near(F.col("fp_a"), F.col("fp"))).select("a", "b").distinct().checkpoint()
     second = connected(cross).select(F.col("node").alias("label"), F.col("label").alias("component"))
     return labelled.join(second, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
 
