@@ -13,8 +13,9 @@ from pyspark.sql.functions import pandas_udf
 from tallyfold.llm import common, packing, secret_scan, simhash, substring_dedup, toxicity
 
 THRESHOLD = 0.5
-#: Texts of similarity 0.8 (five-word shingles) differ in more bits than the 4 that the fingerprint query links.
-NEAR_BITS, NEAR_BLOCKS = 6, 9
+#: Texts of similarity 0.8 (five-word shingles) differ in more bits than the 4 that the fingerprint query links;
+#: a changed word changes as many shingles as they have words, so short ones leave such texts nearer.
+NEAR_BITS, NEAR_BLOCKS, NEAR_SHINGLE = 6, 9, 3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each near-duplicate group; rows without doc_id stay."""
-    groups = simhash.near_duplicates(spark, docs, NEAR_BITS, simhash.even_blocks(NEAR_BLOCKS))
+    groups = simhash.near_duplicates(spark, docs, NEAR_BITS, simhash.even_blocks(NEAR_BLOCKS), NEAR_SHINGLE)
     copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
     return docs.join(copies, F.col("doc_id") == F.col("__copy"), "left_anti")
 

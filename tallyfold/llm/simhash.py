@@ -41,14 +41,14 @@ def block_masks(blocks=BLOCKS, distance: int = DISTANCE) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def simhash(text: str) -> int:
+def simhash(text: str, shingle: int = SHINGLE) -> int:
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
         return 0
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    k = min(SHINGLE, len(words))
+    k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
     n = len(words) - k + 1
     h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), dtype=np.uint64, count=n)
@@ -59,10 +59,10 @@ def simhash(text: str) -> int:
     return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches):
         for batch in batches:
-            fp = np.array([simhash(t) for t in batch.text], dtype=np.uint64)
+            fp = np.array([simhash(t, shingle) for t in batch.text], dtype=np.uint64)
             yield pd.DataFrame({"doc_id": batch.doc_id, "fp": fp.view(np.int64)})
 
     return common.keyed_texts(docs).mapInPandas(run, "doc_id long, fp long")
@@ -119,10 +119,10 @@ def component_table(nodes: DataFrame, distance: int = DISTANCE, blocks=BLOCKS) -
     return labelled.join(second, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE, blocks=BLOCKS) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE, blocks=BLOCKS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable)."""
     common.prepare(spark)
-    prints = fingerprints(docs).checkpoint()
+    prints = fingerprints(docs, shingle).checkpoint()
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", "fp").checkpoint()
     parts = nodes.join(component_table(nodes, distance, blocks), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(parts, "fp").select("doc_id", "fp", "component_id")

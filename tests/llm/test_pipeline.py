@@ -17,7 +17,7 @@ def test_stages_take_effect(spark):
 
     before = docs.collect()
     out = corpus_pipeline.drop_near_copies(spark, docs, SF)
-    parts = brute_components({r.doc_id: brute_simhash(r.text) for r in before}, corpus_pipeline.NEAR_BITS)
+    parts = brute_components({r.doc_id: brute_simhash(r.text, corpus_pipeline.NEAR_SHINGLE) for r in before}, corpus_pipeline.NEAR_BITS)
     assert out.columns == columns and {r.doc_id for r in out.collect()} == set(parts.values())
 
     out = corpus_pipeline.cut_repeated_spans(spark, docs, SF)

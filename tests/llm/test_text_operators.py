@@ -91,9 +91,9 @@ def test_substring_dedup_equals_its_sql(spark):
     assert got == want
 
 
-def brute_simhash(text):
+def brute_simhash(text, n=4):
     words = (text or "").encode().lower().split()
-    shingles = [b" ".join(words[i : i + 4]) for i in range(len(words) - 3)] if len(words) >= 4 else [b" ".join(words)] * bool(words)
+    shingles = [b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] if len(words) >= n else [b" ".join(words)] * bool(words)
     h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
