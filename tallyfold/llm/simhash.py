@@ -93,38 +93,50 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _keys(nodes: DataFrame, masks: list[int], *keep: str) -> DataFrame:
-    held = nodes.select("node", "fp", *keep, F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("t", "mask"))
+def _keys(nodes: DataFrame, masks: list[int]) -> DataFrame:
+    held = nodes.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("t", "mask"))
     # a 32-bit hash of mask and block values is less to shuffle; where two meet by chance, the distance tells
-    return held.select("node", "fp", *keep, F.hash("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("k"))
+    return held.select("fp", F.hash("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("k"))
 
 
-def component_table(nodes: DataFrame, distance: int = DISTANCE, blocks=BLOCKS) -> DataFrame:
-    """(node, component) for nodes (node, fp) of distinct fingerprints; there must be more blocks than bits of distance."""
+def component_table(spark: SparkSession, nodes: DataFrame, distance: int = DISTANCE, blocks=BLOCKS) -> DataFrame:
+    """(fp, component) for distinct fingerprints fp; component is the smallest one reachable.
+
+    There must be more blocks than bits of distance. Only the first look at the buckets
+    shuffles all keys; keys that a bitmap shows to stand alone go no further.
+    """
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= distance
-    masks = block_masks(blocks, distance)
-    keyed = _keys(nodes, masks)
-    centres = keyed.groupBy("k").agg(F.min_by(F.struct("node", "fp"), "node").alias("c"), F.count("*").alias("n")).where("n > 1").select("k", F.col("c.node").alias("c_node"), F.col("c.fp").alias("c_fp"))
-    stars = keyed.join(centres, "k").where((F.col("node") != F.col("c_node")) & near(F.col("fp"), F.col("c_fp"))).select(F.col("node").alias("a"), F.col("c_node").alias("b")).distinct().checkpoint()
+    keyed = _keys(nodes, block_masks(blocks, distance))
+    found = keyed.groupBy("k").agg(F.min("fp").alias("c_fp"), F.max("fp").alias("last")).where("c_fp < last").select("k", "c_fp")
+    centres, centres_at = common.saved(spark, found, "centres")
+    held = common.maybe_among(keyed, ["k"], centres).where("__maybe").join(centres, "k").select("k", "fp", "c_fp")
+    held, held_at = common.saved(spark, held, "buckets")
+    stars = held.where((F.col("fp") != F.col("c_fp")) & near(F.col("fp"), F.col("c_fp"))).select(F.col("fp").alias("a"), F.col("c_fp").alias("b")).distinct().checkpoint()
     first = connected(stars)
-    labelled = nodes.join(first, "node", "left").select("node", "fp", F.coalesce("label", "node").alias("label")).checkpoint()
-
-    keyed = _keys(labelled, masks, "label")
-    mixed = keyed.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("k", "low")
-    held = keyed.join(mixed, "k")
-    left = held.where("label > low").select("k", F.col("fp").alias("fp_a"), F.col("label").alias("a"))
-    right = held.select("k", "fp", F.col("label").alias("b"))
+    labelled = nodes.join(first, nodes.fp == first.node, "left").select("fp", F.coalesce("label", "fp").alias("label")).checkpoint()
+
+    members = held.select("k", "fp").join(labelled, "fp")
+    members, members_at = common.saved(spark, members, "members")
+    mixed = members.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("k", "low")
+    open_ = members.join(mixed, "k")
+    left = open_.where("label > low").select("k", F.col("fp").alias("fp_a"), F.col("label").alias("a"))
+    right = open_.select("k", "fp", F.col("label").alias("b"))
     cross = left.join(right, (left.k == right.k) & (F.col("b") < F.col("a")) & near(F.col("fp_a"), F.col("fp"))).select("a", "b").distinct().checkpoint()
     second = connected(cross).select(F.col("node").alias("label"), F.col("label").alias("component"))
-    return labelled.join(second, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
+    out = labelled.join(second, "label", "left").select("fp", F.coalesce("component", "label").alias("component")).checkpoint()
+    common.remove(spark, centres_at, held_at, members_at)
+    return out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE, blocks=BLOCKS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable)."""
     common.prepare(spark)
     prints = fingerprints(docs, shingle).checkpoint()
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", "fp").checkpoint()
-    parts = nodes.join(component_table(nodes, distance, blocks), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).checkpoint()
+    parts = nodes.join(component_table(spark, nodes.select("fp"), distance, blocks), "fp")
+    # read again, the groups bring no partitioning along that would keep a large one in one task
+    ids, _ = common.saved(spark, parts.groupBy("component").agg(F.min("first").alias("component_id")), "components")
+    parts = parts.join(ids, "component").select("fp", "component_id")
     return prints.join(parts, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -133,11 +133,13 @@ def test_components_of_planted_fingerprints(spark, seed, distance, blocks):
             x ^= sum(1 << k for k in r.sample(range(64), r.choice([1, 2, distance, distance + 1])))
             prints.add(x)
             prints.add(b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, distance + 1))))
-    prints = {i: p for i, p in enumerate(sorted(prints))}
-    nodes = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in prints.items()], "node long, fp long")
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    prints = dict(enumerate(sorted(prints, key=signed)))
+    nodes = spark.createDataFrame([(signed(p),) for p in prints.values()], "fp long")
     common.prepare(spark)
-    got = {r.node: r.component for r in simhash.component_table(nodes, distance, simhash.BLOCKS if distance == simhash.DISTANCE else simhash.even_blocks(blocks)).collect()}
-    assert got == brute_components(prints, distance)
+    table = simhash.component_table(spark, nodes, distance, simhash.BLOCKS if distance == simhash.DISTANCE else simhash.even_blocks(blocks))
+    got = {r.fp: r.component for r in table.collect()}
+    assert got == {signed(prints[i]): signed(prints[c]) for i, c in brute_components(prints, distance).items()}
 
 
 def test_packing_is_whole_and_tight(spark, folder, data):
