@@ -7,8 +7,8 @@ sixteenth as many rows as windows. Stretches are compacted by grouping equal one
 the corpus (their first document is kept), and a join brings that back to each
 occurrence, so that a stretch first seen in an earlier document is covered whole.
 Where a k-mer branches (it stands in different stretches), the stretch's single
-windows are expanded, once a distinct stretch, and joined window by window. The spans
-are cut by source coordinates: document and word offsets.
+windows are expanded, at each place of its first document, and joined window by window.
+The spans are cut by source coordinates: document and word offsets.
 
 A window's identity is two independent 64-bit hashes (k-mer and stretch or window).
 
@@ -175,14 +175,17 @@ def covered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     texts = _tagged(common.keyed_texts(docs))
     walk, walk_at = common.saved(spark, texts.mapInPandas(_walks, "kmer long, whole long, doc_id long, place long"), "walk")
-    found = walk.groupBy("kmer", "whole").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min_by("place", "doc_id").alias("place"))
+    found = walk.groupBy("kmer", "whole").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min_by("place", "doc_id").alias("place"), F.count("*").alias("times"))
     paths, paths_at = common.saved(spark, found, "paths")
     # stretches that stand in several documents: whole stretches of the later ones are covered
     repeated = paths.where("hi > lo").select("kmer", "whole", "lo")
     whole = common.maybe_among(walk, ["kmer", "whole"], repeated).where("__maybe").join(repeated, ["kmer", "whole"]).where("doc_id > lo").select("doc_id", *_placed("place"))
-    # k-mers that branch between documents: single windows of their stretches may be shared
+    # k-mers that branch between documents: single windows of their stretches may be shared, at each place where the first document has the stretch
     edges, edges_at = common.saved(spark, paths.groupBy("kmer").agg(F.count("*").alias("paths"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("paths > 1 and lo < hi").select("kmer"), "edges")
-    ends = common.maybe_among(paths, ["kmer"], edges).where("__maybe").join(edges, "kmer").select(F.col("lo").alias("doc_id"), *_placed("place"), "kmer")
+    forks, forks_at = common.saved(spark, common.maybe_among(paths, ["kmer"], edges).where("__maybe").drop("__maybe").join(edges, "kmer"), "forks")
+    again = forks.where("times > 1").select("kmer", "whole", F.col("lo").alias("doc_id"))
+    again = common.maybe_among(walk, ["kmer", "whole", "doc_id"], again).where("__maybe").join(again, ["kmer", "whole", "doc_id"])
+    ends = forks.where("times = 1").select(F.col("lo").alias("doc_id"), "place", "kmer").union(again.select("doc_id", "place", "kmer")).select("doc_id", *_placed("place"), "kmer")
     ends = ends.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n", "kmer")).alias("e")).select("doc_id", "tag", F.col("e.at").alias("at"), F.col("e.n").alias("n"), F.col("e.kmer").alias("kmer"))
     ends, ends_at = common.saved(spark, ends, "ends")
     near = common.maybe_among(texts, ["doc_id"], ends).where("__maybe").drop("__maybe").withColumnRenamed("doc_id", "doc")
@@ -192,7 +195,7 @@ def covered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     parts = singles.join(seen, ["kmer", "win"]).where("doc_id > lo").select("doc_id", "tag", "at", F.lit(1).alias("n"))
     spans = whole.union(parts).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n")).alias("w"))
     out, _ = common.saved(spark, spans.select("doc_id", "tag", F.col("w.at").alias("starts"), F.col("w.n").alias("counts")), "spans")
-    common.remove(spark, walk_at, paths_at, edges_at, ends_at, singles_at)
+    common.remove(spark, walk_at, paths_at, edges_at, forks_at, ends_at, singles_at)
     return out
 
 

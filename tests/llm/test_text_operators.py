@@ -83,6 +83,26 @@ def test_substring_dedup_of_periodic_words(spark, tmp_path):
     assert got == brute_cut(data)
 
 
+def test_substring_dedup_of_a_repeated_block(spark, tmp_path):
+    """A later document that holds a block with a shared passage several times loses the passage each time."""
+    def words(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    shared = [words(f"x{k}w", 60 + k) for k in range(6)]
+    data = []
+    for k, x in enumerate(shared):
+        block = " ".join([words(f"c{k}w", 80), x, words(f"d{k}w", 80)])
+        data += [(10 * k, words(f"e{k}w", 80) + " " + x, None, None, None), (10 * k + 1, " ".join([block] * (2 + k % 2)), None, None, None), (10 * k + 2, block, None, None, None)]
+    folder = helpers.write(spark, tmp_path, data)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.op2_substring_dedup(spark, folder).collect()}
+    want = brute_cut(data)
+    assert all(want[10 * k + 1][1] == (2 + k % 2) * (60 + k) for k in range(6))
+    assert got == want
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    assert got == {r[0]: r[1:] for r in con.sql(f"SELECT doc_id, n_words, n_removed, kept_sha256 FROM ({substring_dedup.SQL})").fetchall()}
+
+
 def test_substring_dedup_equals_its_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
