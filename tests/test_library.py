@@ -197,6 +197,17 @@ def test_logistic_refit(spark):
     assert abs(((p - y) * x[:, 0]).sum() + w[0]) < 1e-6 and abs((p - y).sum()) < 1e-6
 
 
+@pytest.mark.parametrize(("name", "fit"), [("refit_lr", models.fit_predict), ("refit_boost", models.fit_boost)])
+def test_refits_predict_every_match(spark, name, fit):
+    rows = sorted(records.match_feature_rows(records.tl(spark, SF)).collect(), key=lambda r: r.t_idx)
+    got = {r.t_idx: r for r in getattr(models, name)(spark, SF).collect()}
+    assert sorted(got) == [r.t_idx for r in rows]
+    x, y = np.array([[r[c] for c in records.FEATURES] for r in rows], dtype=float), np.array([r.y for r in rows], dtype=int)
+    for i in (0, 9, 33, len(rows) - 1):
+        assert (got[i].match_uid, got[i].y) == (rows[i].match_uid, y[i])
+        assert got[i].p == pytest.approx(fit(x[:i], y[:i], x[i]))
+
+
 def test_booster_is_monotone():
     rng = np.random.default_rng(1)
     x = np.round(rng.normal(size=(400, 2)), 1)
