@@ -208,6 +208,20 @@ def test_refits_predict_every_match(spark, name, fit):
         assert got[i].p == pytest.approx(fit(x[:i], y[:i], x[i]))
 
 
+def test_booster_splits_rows_before_a_drift(monkeypatch):
+    """Rows more than 400 places back are told apart although later ones lie elsewhere; the fit has 150 trees."""
+    r, n = np.random.default_rng(4), len(records.FEATURES)
+    x = np.zeros((1200, n))
+    x[:600, 0], x[600:, 0] = r.uniform(-2, -1, 600), r.uniform(5, 6, 600)
+    y = np.where(x[:, 0] < 0, x[:, 0] > -1.5, r.random(1200) < 0.5).astype(int)
+    now = np.zeros((2, n))
+    now[:, 0] = -1.8, -1.2
+    sizes, fit = [], boosting.boost
+    monkeypatch.setattr(boosting, "boost", lambda *a: sizes.append(a[2].trees) or fit(*a))
+    low, high = (models.fit_boost(x, y, row) for row in now)
+    assert low < 0.3 < 0.6 < high and sizes == [150, 150]
+
+
 def test_booster_is_monotone():
     rng = np.random.default_rng(1)
     x = np.round(rng.normal(size=(400, 2)), 1)
