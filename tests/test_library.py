@@ -82,6 +82,27 @@ def test_bootstrap_of_constants(spark, value, want):
     assert (r.n, r.lo, r.hi, r.p_value) == (20, pytest.approx(want[0]), pytest.approx(want[1]), want[2])
 
 
+def test_bootstraps_of_several_contrasts(spark):
+    """Each key's figures are those of its own bootstrap."""
+    rows = [("a", i, float(np.sin(i))) for i in range(30)] + [("b", 2 * i, i / 10 - 1) for i in range(30)] + [("c", i, 0.5) for i in range(7)]
+    df = spark.createDataFrame(rows, "key string, t_idx long, diff double")
+    got = {r.key: r for r in scoring.bootstraps(df, 300, block=125).collect()}
+    assert sorted(got) == ["a", "b", "c"]
+    for k, r in got.items():
+        want = scoring.bootstrap(df.where(F.col("key") == k).select(F.lit("m").alias("match_uid"), "t_idx", "diff"), 300).first()
+        assert all(r[x] == pytest.approx(want[x]) for x in ("n", "mean_diff", "lo", "hi", "p_value"))
+
+
+def test_reports_hold_every_contrast_summary_and_calibration(spark, monkeypatch):
+    monkeypatch.setattr(models, "fit_boost", lambda x, y, now, columns: 0.5)
+    for name, contrasts, predictors in (("p4a_report", models.P4A, "coinflip elo log5 lr xgb"), ("p4b_report", models.P4B, "coinflip elo log5 lr_a lr_b lr_c xgb_a xgb_b xgb_c")):
+        rows = getattr(models, name)(spark, SF).collect()
+        assert sorted((r.win, r.contrast) for r in rows if r.part == "contrast") == sorted((w, f"{a}-{b}") for w in ("full", "scored") for a, b in contrasts)
+        assert sorted((r.win, r.predictor) for r in rows if r.part == "summary") == sorted((w, p) for w in ("full", "scored") for p in predictors.split())
+        assert sorted((r.predictor, r.bucket) for r in rows if r.part == "calibration") == sorted((p, k) for p in predictors.split() for k in range(5))
+        assert len({r.n for r in rows if r.part != "calibration" and r.win == "full" and r.n}) == 1
+
+
 def test_bootstrap_of_nothing(spark):
     r = scoring.bootstrap(spark.createDataFrame([], "match_uid string, t_idx long, diff double"), 10).first()
     assert r.n == 0 and r.lo is None
