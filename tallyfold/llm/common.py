@@ -13,7 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKENIZER_DIR = os.environ.get("TALLYFOLD_TOKENIZERS", "/opt/tokenizers")
+#: A folder with the tokenizer files; where it is not set, the installed package's own path is taken.
+TOKENIZER_DIR = os.environ.get("TALLYFOLD_TOKENIZERS")
 #: Whitespace for Python's split() that the tokenizer's pattern doesn't treat as whitespace.
 _ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Rows a Python worker holds at once; documents may be long.
@@ -21,7 +22,11 @@ ARROW_ROWS = 256
 
 
 def tokenizer_path(name: str) -> str:
-    return os.path.join(TOKENIZER_DIR, name)
+    if TOKENIZER_DIR:
+        return os.path.join(TOKENIZER_DIR, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +34,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, and a checkpoint folder where the session names none."""
+    """Small Arrow batches for the session's Python stages, and a checkpoint folder.
+
+    A local session that names no folder gets a temporary one; on a cluster that would lie on one
+    machine's disk, so there the session must name it.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyfold-"))
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc._jsc.sc().isLocal():
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyfold-"))
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -44,6 +57,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until df has no such column (case aside)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keyed_texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone; a null text is empty, a row without doc_id is left out."""
     return docs.where(F.col("doc_id").isNotNull()).select(
@@ -55,10 +79,10 @@ def crc_of_id(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string"))
 
 
-def saved(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def saved(spark: SparkSession, df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
     """df written as a table in the shared folder and read again, and the table's path."""
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -80,15 +104,16 @@ def _bit(keys) -> tuple:
 
 
 def maybe_among(df: DataFrame, keys: list[str], others: DataFrame, flag: str = "__maybe") -> DataFrame:
-    """df with a boolean: false where the keys are surely not in `others`.
+    """df with a boolean `flag`: false where the keys are surely not in `others`.
 
     Rows that can't match then need no shuffle; the join that follows is exact. The
     bitmap has BITMAP_WORDS rows at most, whatever the size of `others`.
     """
     word, bit = _bit(keys)
-    bitmap = others.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
-    held = df.withColumn("__own_word", word).join(F.broadcast(bitmap), F.col("__own_word") == F.col("__word"), "left")
-    return held.withColumn(flag, F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__own_word", "__word", "__bits")
+    own, words, bits = spare_names(df, "__own_word", "__word", "__bits")
+    bitmap = others.select(word.alias(words), bit.alias("__bit")).groupBy(words).agg(F.bit_or("__bit").alias(bits))
+    held = df.withColumn(own, word).join(F.broadcast(bitmap), F.col(own) == F.col(words), "left")
+    return held.withColumn(flag, F.coalesce(F.col(bits).bitwiseAND(bit) != 0, F.lit(False))).drop(own, words, bits)
 
 
 #: The word-end vocabulary's pattern between white space, over characters up to U+024F in lower case.
