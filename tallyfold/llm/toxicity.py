@@ -4,9 +4,14 @@ A document's features are the hashed buckets of its distinct lower-case words an
 the words' beginnings. Buckets are chosen on labelled rows by a chi-square statistic; linear weights and
 factor vectors (pairwise interactions) are then learned together.
 
+Toxic rows are the few, so they weigh POSITIVE_WEIGHT times as much in the loss.
+
 Defined cases: a null or empty text has no features and gets the score of the bias;
 with no labelled rows, or one class only, every score is the base rate (0.5 without
-rows); repeated rows are scored each; a label row whose id is null is not used.
+rows); repeated rows are scored each; a label row whose id is null, or whose label is
+neither 0 nor 1, is not used, and of contradicting labels of one id the greater counts;
+ties of the bucket choice go to the smaller bucket; texts of any length are read whole;
+an empty table gives no rows; other columns are not read.
 """
 
 import re
@@ -25,8 +30,9 @@ from tallyfold.llm import common
 BUCKETS = 1 << 18
 #: At most so many labelled documents are used to fit (the smallest hashes of doc_id).
 TRAIN_ROWS = 10_000
-FEATURES = 1024
+FEATURES = 2048
 FACTORS = 6
+POSITIVE_WEIGHT = 8.0
 PREFIXES = (5, 7)
 _WORD = re.compile(r"\w+")
 
@@ -72,12 +78,12 @@ class FactorizationMachine:
         z = self.bias
         if len(at):
             v = self.factors[at]
-            z += self.weights[at].sum() + 0.5 * ((v.sum(0) ** 2) - (v**2).sum(0)).sum()
+            z += self.weights[at].sum() + 0.5 * ((v.sum(0) ** 2) - (v**2).sum(0)).sum()  # all pairs' products at once
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit_machine(rows: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, epochs: int = 150, rate: float = 0.05, l2: float = 2e-4, seed: int = 7) -> FactorizationMachine:
-    """Adam on the log loss; rows hold positions in chosen."""
+def fit_machine(rows: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, epochs: int = 150, rate: float = 0.05, l2: float = 2e-4, seed: int = 7, weight: float = POSITIVE_WEIGHT) -> FactorizationMachine:
+    """Adam on the log loss, toxic rows weighted; rows hold positions in chosen."""
     n, m = len(rows), len(chosen)
     p0 = (labels.sum() + 1) / (n + 2) if n else 0.5
     machine = FactorizationMachine(chosen, float(np.log(p0 / (1 - p0))), np.zeros(m), np.zeros((m, FACTORS)))
@@ -87,6 +93,8 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray,
     for i, at in enumerate(rows):
         x[i, at] = 1
     y = labels.astype(np.float32)
+    share = np.where(y == 1, weight, 1.0).astype(np.float32)
+    share /= share.sum()
     rng = np.random.default_rng(seed)
     theta = [np.array([machine.bias], dtype=np.float32), np.zeros(m, dtype=np.float32), rng.normal(0, 0.01, (m, FACTORS)).astype(np.float32)]
     first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
@@ -94,7 +102,7 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray,
         b, w, v = theta
         xv = x @ v
         z = b[0] + x @ w + 0.5 * ((xv**2).sum(1) - x @ (v**2).sum(1))
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
         xg = x.T @ g
         grads = [np.array([g.sum()]), xg + l2 * w, x.T @ (g[:, None] * xv) - v * xg[:, None] + l2 * v]
         for k, d in enumerate(grads):
@@ -116,7 +124,7 @@ def _count_buckets(batches):
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, learn, most: int) -> DataFrame:
     """text and label of at most `most` labelled documents, by the hash of the id; the broadcast side has at most `most` rows of two numbers."""
     picked = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & learn)
+        labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1) & learn)
         .select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
         .limit(most)
