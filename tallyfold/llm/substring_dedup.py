@@ -10,11 +10,16 @@ Where a k-mer branches (it stands in different stretches), the stretch's single
 windows are expanded, at each place of its first document, and joined window by window.
 The spans are cut by source coordinates: document and word offsets.
 
-A window's identity is two independent 64-bit hashes (k-mer and stretch or window).
+Repeats are verified at their source coordinates: a stretch's or window's identity is
+its k-mer's rolling hash, made of word hashes, and the XXH64 of its very bytes, read
+from each document at the words it stands at; only occurrences equal in both are covered.
 
 Defined cases: a null text has no words; texts under 50 words lose nothing; rows
 without doc_id are left out; windows repeated inside one document are kept; rows with
-the same doc_id each give a row, and none is earlier than the other.
+the same doc_id each give a row, and none is earlier than the other, so ties of doc_id
+remove nothing; an empty table gives no rows; texts are read whole, and one of more than
+2^27 words (over what a Spark string of such words can hold) raises ValueError; columns
+of any names pass, as own columns take names that are free.
 """
 
 import hashlib
@@ -41,49 +46,54 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class WordHashes:
-    """Two 64-bit hashes of words, in a bounded cache, and rolling sums over them."""
+    """64-bit hashes of words, in a bounded cache, and rolling sums over them."""
 
-    #: Odd multipliers of the rolling sums and their inverses modulo 2^64.
-    BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+    #: Odd multiplier of the rolling sums.
+    BASE = 0xD6E8FEB86659FD93
 
     def __init__(self, most: int = 300_000):
         self.cache: dict[bytes, int] = {}
         self.most = most
         self.size = 0
-        self.up: list[np.ndarray] = []
-        self.down: list[np.ndarray] = []
+        self.up = self.down = np.empty(0, dtype=np.uint64)
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, words: list[bytes]) -> np.ndarray:
         if len(self.cache) > self.most:
             self.cache.clear()
         cache = self.cache
         for w in set(words).difference(cache):
             cache[w] = xxhash.xxh64_intdigest(w, 11)
-        a = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
-        b = a ^ (a >> np.uint64(31))
-        b *= np.uint64(0xBF58476D1CE4E5B9)
-        b ^= b >> np.uint64(29)
-        return a, b
-
-    def sums(self, h: np.ndarray, family: int) -> np.ndarray:
-        """s[i]: sum of h[j] * base^j over j < i."""
-        n = len(h)
+        return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+
+    def kmers(self, words: list[bytes], k: int) -> np.ndarray:
+        """Hash of the k words from each place, wherever they stand."""
+        n = len(words)
         if n > self.size:
             self.size = max(n, 2 * self.size, 4096)
-            self.up = [_powers(b, self.size) for b in self.BASES]
-            self.down = [_powers(pow(b, -1, 1 << 64), self.size) for b in self.BASES]
-        out = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(h * self.up[family][:n], out=out[1:])
-        return out
-
-    def spans(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray, family: int) -> np.ndarray:
-        """Hash of the words start..end, wherever they stand."""
-        h = (sums[end] - sums[start]) * self.down[family][start]
-        h ^= (h >> np.uint64(32)) + (end - start).astype(np.uint64)
+            self.up, self.down = _powers(self.BASE, self.size), _powers(pow(self.BASE, -1, 1 << 64), self.size)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(self(words) * self.up[:n], out=sums[1:])
+        h = (sums[k:] - sums[:-k]) * self.down[: n - k + 1]
+        h ^= h >> np.uint64(32)
         h *= _MIX
         return h ^ (h >> np.uint64(29))
 
 
+class Bytes:
+    """A document's words, joined by one space, and the XXH64 of any run of them."""
+
+    def __init__(self, words: list[bytes]):
+        self.joined = memoryview(b" ".join(words))
+        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+        self.starts, self.ends = np.concatenate([[0], ends[:-1]]), ends - 1
+
+    def digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Digests of the words start..end."""
+        at, to = self.starts[start].tolist(), self.ends[end - 1].tolist()
+        joined, digest = self.joined, xxhash.xxh64_intdigest
+        return np.fromiter((digest(joined[a:b], 29) for a, b in zip(at, to, strict=True)), dtype=np.uint64, count=len(at))
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     out, have = x, 1
     while have < width:
@@ -96,10 +106,8 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def stretches(hasher: WordHashes, words: list[bytes], window: int = WINDOW, kmer: int = KMER):
     """Starts, counts of windows, k-mer hashes and stretch hashes of a document's walk."""
     n = len(words)
-    a, b = hasher(words)
-    sa, sb = hasher.sums(a, 0), hasher.sums(b, 1)
     at = np.arange(n - kmer + 1)
-    key = hasher.spans(sa, at, at + kmer, 0)
+    key = hasher.kmers(words, kmer)
     # the smallest k-mer of each window; of equal ones the first (low bits hold its place)
     bits = np.uint64(max(1, int(n).bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
@@ -108,7 +116,7 @@ def stretches(hasher: WordHashes, words: list[bytes], window: int = WINDOW, kmer
     first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     count = np.diff(np.concatenate([first, [len(anchor)]]))
     place = anchor[first]
-    whole = hasher.spans(sb, first, first + count - 1 + window, 1)
+    whole = Bytes(words).digests(first, first + count - 1 + window)
     whole = (whole ^ (place - first).astype(np.uint64)) * _MIX
     return first, count, key[place].view(np.int64), whole.view(np.int64)
 
@@ -117,17 +125,19 @@ def stretches(hasher: WordHashes, words: list[bytes], window: int = WINDOW, kmer
 TAG_BITS, AT_BITS, COUNT_BITS = 31, 27, 5
 
 
-def _tagged(docs: DataFrame) -> DataFrame:
-    """docs with a tag of the text, which tells rows with the same doc_id apart."""
-    return docs.withColumn("__tag", F.crc32(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit((1 << TAG_BITS) - 1)))
+def _tag():
+    """A number of the text, which tells rows with the same doc_id apart."""
+    return F.crc32(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit((1 << TAG_BITS) - 1))
 
 
 def _walks(batches):
     hasher = WordHashes()
     for batch in batches:
         parts = []
-        for doc, text, tag in zip(batch.doc_id, batch.text, batch["__tag"], strict=True):
+        for doc, text, tag in zip(batch.doc_id, batch.text, batch.tag, strict=True):
             words = text.encode("utf-8", "replace").split()
+            if len(words) >= 1 << AT_BITS:
+                raise ValueError(f"document {doc} has more words than a place can number")
             if len(words) >= WINDOW:
                 first, count, kmer, whole = stretches(hasher, words)
                 place = ((int(tag) << AT_BITS) + first << COUNT_BITS) + count
@@ -137,14 +147,11 @@ def _walks(batches):
 
 
 def _windows(batches):
-    hasher = WordHashes()
     for batch in batches:
         parts = []
-        for doc, tag, text, at, n, kmer in zip(batch.doc_id, batch["__tag"], batch.text, batch["at"], batch.n, batch.kmer, strict=True):
-            words = text.encode("utf-8", "replace").split()
-            sums = hasher.sums(hasher(words)[1], 1)
+        for doc, tag, text, at, n, kmer in zip(batch.doc_id, batch.tag, batch.text, batch["at"], batch.n, batch.kmer, strict=True):
             starts = np.repeat(at, n) + np.concatenate([np.arange(k) for k in n])
-            win = hasher.spans(sums, starts, starts + WINDOW, 1).view(np.int64)
+            win = Bytes(text.encode("utf-8", "replace").split()).digests(starts, starts + WINDOW).view(np.int64)
             parts.append(pd.DataFrame({"kmer": np.repeat(kmer, n), "win": win, "doc_id": doc, "tag": tag, "at": starts.astype(np.int32)}))
         if parts:
             yield pd.concat(parts, ignore_index=True)
@@ -173,7 +180,7 @@ def covered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Every shuffle but the first carries only rows whose key a bitmap holds. What is
     written on the way is removed; the result is a table of its own.
     """
-    texts = _tagged(common.keyed_texts(docs))
+    texts = common.keyed_texts(docs).withColumn("tag", _tag())
     walk, walk_at = common.saved(spark, texts.mapInPandas(_walks, "kmer long, whole long, doc_id long, place long"), "walk")
     found = walk.groupBy("kmer", "whole").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min_by("place", "doc_id").alias("place"), F.count("*").alias("times"))
     paths, paths_at = common.saved(spark, found, "paths")
@@ -188,8 +195,7 @@ def covered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ends = forks.where("times = 1").select(F.col("lo").alias("doc_id"), "place", "kmer").union(again.select("doc_id", "place", "kmer")).select("doc_id", *_placed("place"), "kmer")
     ends = ends.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n", "kmer")).alias("e")).select("doc_id", "tag", F.col("e.at").alias("at"), F.col("e.n").alias("n"), F.col("e.kmer").alias("kmer"))
     ends, ends_at = common.saved(spark, ends, "ends")
-    near = common.maybe_among(texts, ["doc_id"], ends).where("__maybe").drop("__maybe").withColumnRenamed("doc_id", "doc")
-    near = near.join(ends, (near.doc == ends.doc_id) & (near["__tag"] == ends.tag)).select("doc_id", "__tag", "text", "at", "n", "kmer")
+    near = common.maybe_among(texts, ["doc_id"], ends).where("__maybe").drop("__maybe").join(ends, ["doc_id", "tag"])
     singles, singles_at = common.saved(spark, near.mapInPandas(_windows, "kmer long, win long, doc_id long, tag long, at int"), "windows")
     seen = singles.groupBy("kmer", "win").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("hi > lo").select("kmer", "win", "lo")
     parts = singles.join(seen, ["kmer", "win"]).where("doc_id > lo").select("doc_id", "tag", "at", F.lit(1).alias("n"))
@@ -199,26 +205,28 @@ def covered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return out
 
 
-def cut(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with __starts and __counts of the windows to cut (null: none).
+def cut(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with the starts and counts of the windows to cut (null: none), and the names of these two columns.
 
     Only documents that may have such windows are joined with them.
     """
-    spans = covered(spark, docs).toDF("__doc", "__span_tag", "__starts", "__counts")
-    held = common.maybe_among(_tagged(docs), ["doc_id"], spans.select(F.col("__doc").alias("doc_id"))).drop("__bits")
-    some = held.where("__maybe").join(spans, (F.col("doc_id") == F.col("__doc")) & (F.col("__tag") == F.col("__span_tag")), "left")
-    none = held.where("NOT __maybe").withColumn("__starts", F.lit(None).cast("array<int>")).withColumn("__counts", F.lit(None).cast("array<int>"))
-    columns = [*docs.columns, "__starts", "__counts"]
-    return some.select(*columns).union(none.select(*columns))
+    doc, tag, own, maybe, starts, counts = common.spare_names(docs, "span_doc", "span_tag", "own_tag", "maybe", "starts", "counts")
+    spans = covered(spark, docs).toDF(doc, tag, starts, counts)
+    held = common.maybe_among(docs.withColumn(own, _tag()), ["doc_id"], spans.select(F.col(doc).alias("doc_id")), maybe)
+    some = held.where(F.col(maybe)).join(spans, (F.col("doc_id") == F.col(doc)) & (F.col(own) == F.col(tag)), "left")
+    none = held.where(~F.col(maybe)).withColumn(starts, F.lit(None).cast("array<int>")).withColumn(counts, F.lit(None).cast("array<int>"))
+    columns = [*docs.columns, starts, counts]
+    return some.select(*columns).union(none.select(*columns)), starts, counts
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     docs = common.keyed_texts(common.read_table(spark, sf_dir, "documents"))
+    held, starts, counts = cut(spark, docs)
 
     def run(batches):
         for batch in batches:
-            rows = [kept_words(*x) for x in zip(batch.text, batch["__starts"], batch["__counts"], strict=True)]
+            rows = [kept_words(*x) for x in zip(batch.text, batch[starts], batch[counts], strict=True)]
             yield pd.DataFrame({
                 "doc_id": batch.doc_id,
                 "n_words": [n for _, n in rows],
@@ -226,7 +234,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "kept_sha256": [hashlib.sha256(b" ".join(k)).hexdigest() for k, _ in rows],
             })
 
-    return cut(spark, docs).select("doc_id", "text", "__starts", "__counts").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return held.mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 SQL = r"""
