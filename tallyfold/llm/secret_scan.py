@@ -7,7 +7,11 @@ as SQL conditions, so scanning is one pass over the texts without a shuffle.
 
 Defined cases: a null or empty text has no candidates; a text without findings is
 returned as it is; in a text with candidates a character U+0001 counts as a space, also in
-its redacted form; repeated rows are scanned each; all columns are kept, whatever their names.
+its redacted form; repeated rows are scanned each; rows without doc_id are scanned by
+`scan` and left out by the query; texts of any length are scanned whole, each candidate
+with at most 40 characters around it; where candidates could overlap the first one from
+the left counts; an empty table gives no rows; all columns are kept, whatever their
+names, and the result's column takes the name given.
 """
 
 import re
@@ -125,29 +129,30 @@ def train(spark: SparkSession, labelled: DataFrame | None = None) -> str:
     return sql
 
 
-def scan(docs: DataFrame, forest: str, text: str = "text") -> DataFrame:
-    """docs with __scan: n_candidates, findings (ordinal, sha256, length, score), redacted text."""
+def scan(docs: DataFrame, forest: str, text: str = "text", out: str = "scan") -> DataFrame:
+    """docs with the struct `out` (a column of this name is replaced): n_candidates, findings (ordinal, sha256, length, score), redacted text."""
+    parts, values, votes = common.spare_names(docs, "pieces", "numbers", "scores")
     plain = F.coalesce(F.col(text), F.lit(""))
     clear = F.translate(plain, MARK, " ")
     sign = F.contains(plain, F.lit("=")) | F.contains(plain, F.lit(":"))
     worth = plain.rlike(LONG_NUMBERED) | (sign & plain.rlike(ASSIGNED)) | F.contains(plain, F.lit("PRIVATE KEY-----"))
     marked = F.when(worth, F.regexp_replace(clear, CANDIDATE, f"{MARK}$0{MARK}")).otherwise(clear)
-    pieces = docs.withColumn("__pieces", F.split(marked, MARK, -1))
-    numbers = F.transform("__pieces", lambda p, i: F.when(i % 2 == 1, F.array(*feature_columns(p, F.right(F.get("__pieces", i - 1), F.lit(40)), F.left(F.get("__pieces", i + 1), F.lit(4))))))
-    scored = pieces.withColumn("__numbers", numbers).withColumn("__scores", F.expr(f"transform(__numbers, f -> CASE WHEN f IS NULL THEN 0D ELSE {forest} END)"))
+    pieces = docs.withColumn(parts, F.split(marked, MARK, -1))
+    numbers = F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.array(*feature_columns(p, F.right(F.get(parts, i - 1), F.lit(40)), F.left(F.get(parts, i + 1), F.lit(4))))))
+    scored = pieces.withColumn(values, numbers).withColumn(votes, F.expr(f"transform({values}, f -> CASE WHEN f IS NULL THEN 0D ELSE {forest} END)"))
     found = F.filter(
-        F.transform(F.arrays_zip(F.col("__pieces").alias("p"), F.col("__scores").alias("s")), lambda x, i: F.struct(F.floor(i / 2).cast("long").alias("ordinal"), F.sha2(x["p"], 256).alias("sha256"), F.char_length(x["p"]).cast("long").alias("length"), x["s"].alias("score"))),
+        F.transform(F.arrays_zip(F.col(parts).alias("p"), F.col(votes).alias("s")), lambda x, i: F.struct(F.floor(i / 2).cast("long").alias("ordinal"), F.sha2(x["p"], 256).alias("sha256"), F.char_length(x["p"]).cast("long").alias("length"), x["s"].alias("score"))),
         lambda x: x["score"] >= 0.5,
     )
-    redacted = F.when(F.size(F.filter("__scores", lambda s: s >= 0.5)) == 0, F.col(text)).otherwise(F.array_join(F.transform("__pieces", lambda p, i: F.when(F.get("__scores", i) >= 0.5, F.lit(REDACTED)).otherwise(p)), ""))
-    result = F.struct(F.floor(F.size("__pieces") / 2).cast("long").alias("n_candidates"), found.alias("findings"), redacted.alias("redacted"))
-    return scored.withColumn("__scan", result).drop("__pieces", "__numbers", "__scores")
+    redacted = F.when(F.size(F.filter(votes, lambda s: s >= 0.5)) == 0, F.col(text)).otherwise(F.array_join(F.transform(parts, lambda p, i: F.when(F.get(votes, i) >= 0.5, F.lit(REDACTED)).otherwise(p)), ""))
+    result = F.struct(F.floor(F.size(parts) / 2).cast("long").alias("n_candidates"), found.alias("findings"), redacted.alias("redacted"))
+    return scored.withColumn(out, result).drop(parts, values, votes)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     out = scan(common.keyed_texts(common.read_table(spark, sf_dir, "documents")), train(spark))
     return out.select(
-        "doc_id", "__scan.n_candidates", F.size("__scan.findings").cast("long").alias("n_secrets"),
-        F.col("__scan.findings.sha256").alias("secret_sha256"), F.sha2(F.coalesce("__scan.redacted", F.lit("")), 256).alias("redacted_sha256"),
+        "doc_id", "scan.n_candidates", F.size("scan.findings").cast("long").alias("n_secrets"),
+        F.col("scan.findings.sha256").alias("secret_sha256"), F.sha2(F.coalesce("scan.redacted", F.lit("")), 256).alias("redacted_sha256"),
     )
