@@ -10,12 +10,18 @@ filter over the keys, and a footer. `Shard.get` finds a document by binary searc
     bloom:  bits; footer: index offset, index entries, bloom offset, bloom bytes,
             documents, ids, probes, bytes an id (u64 each), magic
 
-Shards are written below the folder that driver and executors share, under a temporary
-name and then renamed, so a task that runs again leaves the same file.
+Rows are dealt by ranges of doc_id, about TASK_BYTES of text a range; each range's task
+sorts, encodes and writes shard after shard, of DOCS_PER_SHARD documents or SHARD_BYTES
+at most. The list of shards is a table in the shared folder, never collected; where each
+shard begins among all ids is a sum over ranges and a window within each range. Shards
+are written below that folder under a temporary name and then renamed, so a task that
+runs again leaves the same file; they and their list stay there, as they are the output.
 
 Defined cases: a null or empty text is its end id alone; rows without doc_id can't be
-keyed and are left out; rows with equal doc_id are neighbours, in order of their ids'
-bytes; an empty table gives no shard.
+keyed and are left out; rows with equal doc_id are neighbours, in order of their texts;
+texts of any length are encoded whole, and a document is never parted between shards;
+ids that don't fit two bytes are written in four; an empty table gives no shard; other
+columns are not read.
 """
 
 import os
@@ -27,7 +33,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm import common
@@ -39,6 +45,8 @@ BLOCK_BYTES = 64 * 1024
 RESTART = 16
 PROBES, BITS_PER_KEY = 7, 10
 DOCS_PER_SHARD = 4096
+SHARD_BYTES = 64 << 20
+TASK_BYTES = 16 << 20
 END_ID = 1
 
 
@@ -99,6 +107,7 @@ def rename(old: str, new: str) -> None:
 
 class ShardWriter:
     def __init__(self, path: str, id_bytes: int = 2):
+        """id_bytes is 2 or 4; add() takes values of that width."""
         self.path, self.temporary = path, f"{path}.{uuid.uuid4().hex}.tmp"
         self.file = open_file(self.temporary, "wb")
         self.id_bytes = id_bytes
@@ -213,49 +222,45 @@ class Shard:
         return None
 
 
-def id_bounds(docs: DataFrame, per_shard: int = DOCS_PER_SHARD) -> list[int]:
-    """Upper doc_ids that cut the table into shares of about per_shard rows; a few numbers a thousand shards."""
-    row = docs.where(F.col("doc_id").isNotNull()).agg(F.count("*").alias("n")).first()
-    shares = -(-row["n"] // per_shard)
-    if shares < 2:
-        return []
-    cuts = [i / shares for i in range(1, shares)]
-    return sorted(set(docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), cuts, 20 * shares + 1000)).first()[0]))
+def id_width(tokenizer: str) -> int:
+    """Bytes that any id of the tokenizer fits, the end ids included."""
+    from tokenizers import Tokenizer
 
+    return 2 if Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
-def write_shards(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> list[tuple]:
-    """Writes the shards; gives (shard, file, documents, ids) of each, in doc_id order."""
-    common.prepare(spark)
-    bounds = np.array(id_bounds(docs), dtype=np.int64)
 
-    def encode(batches):
-        bpe = common.WordBpe(tokenizer)
-        for batch in batches:
-            ids = [np.append(x, np.uint32(end_id)).astype("<u2").tobytes() for x in bpe.encode_many(list(batch.text))]
-            yield pd.DataFrame({"shard": np.searchsorted(bounds, batch.doc_id.to_numpy()).astype(np.int32), "doc_id": batch.doc_id, "ids": ids})
+def write_shards(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, task_bytes: int = TASK_BYTES, per_shard: int = DOCS_PER_SHARD) -> DataFrame:
+    """Writes the shards; gives the table of share, shard (in order within the share), file, documents and ids of each."""
+    common.prepare(spark)
+    width = id_width(tokenizer)
 
     def write(batches):
-        writer, shard = None, None
+        bpe, writer, shard, dtype = common.WordBpe(tokenizer), None, 0, f"<u{width}"
+
+        def done():
+            writer.close()
+            return pd.DataFrame({"share": [share], "shard": [shard], "file": [writer.path], "docs": [len(writer.keys)], "ids": [writer.ids]})
+
         for batch in batches:
-            for k, doc, ids in zip(batch.shard, batch.doc_id, batch.ids, strict=True):
+            for share, doc, ids in zip(batch.share, batch.doc_id, bpe.encode_many(list(batch.text)), strict=True):
+                if writer is not None and (len(writer.keys) >= per_shard or writer.at + len(writer.block) >= SHARD_BYTES):
+                    yield done()
+                    writer, shard = None, shard + 1
                 if writer is None:
-                    shard = int(k)
-                    name = f"{path}/shard-{shard:06d}.sst"
-                    writer = ShardWriter(name)
-                writer.add(int(doc), ids)
+                    writer = ShardWriter(f"{path}/shard-{int(share):06d}-{shard:06d}.sst", width)
+                writer.add(int(doc), np.append(ids, np.uint32(end_id)).astype(dtype).tobytes())
         if writer is not None:
-            writer.close()
-            yield pd.DataFrame({"shard": [shard], "file": [name], "docs": [len(writer.keys)], "ids": [writer.ids]})
+            yield done()
 
-    encoded = common.keyed_texts(docs).mapInPandas(encode, "shard int, doc_id long, ids binary")
-    placed = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("doc_id", "ids")
-    return sorted(tuple(r) for r in placed.mapInPandas(write, "shard int, file string, docs long, ids long").collect())
+    texts = common.keyed_texts(docs)
+    size = texts.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    dealt = texts.repartitionByRange(max(1, -(-size // task_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    shards = dealt.withColumn("share", F.spark_partition_id()).mapInPandas(write, "share int, shard int, file string, docs long, ids long")
+    return common.saved(spark, shards, "shards-list")[0]
 
 
-def read_shards(spark: SparkSession, manifest: list[tuple]) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 from the files; one task a shard."""
-    before = np.concatenate([[0], np.cumsum([m[3] for m in manifest])]) if manifest else [0]
-    files = [(k, m[1], int(before[k])) for k, m in enumerate(manifest)]
+def read_shards(spark: SparkSession, shards: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 from the files, each shard by itself."""
 
     def run(batches):
         for batch in batches:
@@ -266,10 +271,15 @@ def read_shards(spark: SparkSession, manifest: list[tuple]) -> DataFrame:
                     start += len(ids)
                 yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    table = spark.createDataFrame(files, "k int, file string, before long").repartitionById(max(1, len(files)), F.col("k"))
-    return table.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # one row a share passes one task, not one a shard or a document
+    shares = shards.groupBy("share").agg(F.sum("ids").alias("total"))
+    shares = shares.select("share", (F.sum("total").over(Window.orderBy("share")) - F.col("total")).alias("first"))
+    within = F.sum("ids").over(Window.partitionBy("share").orderBy("shard")) - F.col("ids")
+    placed = shards.join(shares, "share").select("file", (F.col("first") + within).alias("before"))
+    tasks = max(1, min(1024, shards.count()))
+    return placed.repartition(tasks).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = write_shards(spark, common.read_table(spark, sf_dir, "documents"), common.shared_dir(spark, "shards"), common.tokenizer_path("word_bpe_49k.json"))
-    return read_shards(spark, manifest)
+    shards = write_shards(spark, common.read_table(spark, sf_dir, "documents"), common.shared_dir(spark, "shards"), common.tokenizer_path("word_bpe_49k.json"))
+    return read_shards(spark, shards)
