@@ -1,46 +1,85 @@
 """Near-duplicate groups by SimHash fingerprints and pigeonhole blocks.
 
-Fingerprints at most 4 bits apart leave at least 2 of 6 blocks untouched, so they
-meet under one of the 15 pairs of blocks; other distances take other blocks
-(`even_blocks`: 9 blocks, 3 of them kept, for 6 bits). Equal fingerprints are one node. In each
-block bucket every node is first held against the bucket's smallest node (a star, one
-row a node); only buckets that still hold several components are then joined, and
-only nodes outside the bucket's smallest component are held against the others. No
-link between different components is missed, and no group's pairs are all formed.
+A fingerprint of 64 bits is cut into blocks; fingerprints at most `distance` bits apart
+leave at least blocks - distance blocks untouched, so they share one of the keys made of
+so many blocks, rows join on these keys, and the Hamming distance is verified. The
+number of blocks follows the number of distinct fingerprints, so that a key holds few
+chance neighbours at any size (`blocks_for`); the links found are the same for any number.
+
+Equal fingerprints are one node. Each bucket has a centre, and a node is held against
+two of its buckets' centres at most (a star), a few times with other centres; only
+buckets that then still hold several components are joined, with the distance in the
+join, and only nodes outside the bucket's smallest component are held against the
+others. No link between different components is missed, and no group's pairs are all
+formed.
+
+`near_duplicates` links by the one fingerprint of 4-word shingles. `near_copies` is made
+for copies of five-word similarity 0.8 and more, which differ in too many bits of one
+such fingerprint: three fingerprints of a text's distinct words propose pairs, and a
+wide one of its distinct five-word shingles (1,024 bits) verifies them by Hamming distance.
 
 Defined cases: a null text is empty and has fingerprint zero, which links like any
-other; rows without doc_id are left out; repeated rows give repeated result rows.
+other; rows without doc_id are left out; repeated rows give repeated result rows, and a
+group's id is its smallest doc_id, so ties can't occur; an empty table gives no rows;
+texts of any length are read whole, in slices of bounded memory; other columns are not read.
 """
 
+from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations
+from operator import add, or_
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.llm import common
 
 SHINGLE = 4
 DISTANCE = 4
-#: Blocks of a fingerprint: (first bit, bits).
-BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
+LEAST_BLOCKS = 7
+#: Star rounds, each with another centre a bucket, before buckets are joined.
+CENTRES = (0, -1, 0x5555555555555555)
+#: Fingerprints of distinct words, longs of the wide fingerprint, words of its shingles.
+PROPOSING, WIDE, WIDE_SHINGLE = 3, 16, 5
+#: Bits of the wide fingerprint in which texts of similarity 0.8 differ on average (the angle of cosine 2 * 0.8 / 1.8), and half a standard deviation.
+WIDE_BITS = round(64 * WIDE * float(np.arccos(1.6 / 1.8)) / np.pi) + 5
 
 
 def even_blocks(n: int) -> list[tuple[int, int]]:
-    """64 bits cut into n blocks of nearly equal size."""
+    """64 bits cut into n blocks of nearly equal size: (first bit, bits)."""
     edges = [64 * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def block_masks(blocks=BLOCKS, distance: int = DISTANCE) -> list[int]:
-    """Masks that keep len(blocks) - distance whole blocks, as signed 64-bit numbers."""
-    single = [((1 << n) - 1) << at for at, n in blocks]
-    masks = [sum(c) for c in combinations(single, len(blocks) - distance)]
+def blocks_for(n: int, distance: int = DISTANCE) -> int:
+    """Blocks at which a key of the untouched ones holds a quarter of a chance neighbour at most, of n fingerprints."""
+    blocks = max(LEAST_BLOCKS, distance + 3)
+    while blocks < 32 and n > 1 << ((blocks - distance) * (64 // blocks) - 2):
+        blocks += 1
+    return blocks
+
+
+def block_masks(blocks: int, distance: int = DISTANCE) -> list[int]:
+    """Masks that keep blocks - distance whole blocks, as signed 64-bit numbers."""
+    single = [((1 << n) - 1) << at for at, n in even_blocks(blocks)]
+    masks = [sum(c) for c in combinations(single, blocks - distance)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def _majority(h: np.ndarray, step: int = 255 * 16) -> np.ndarray:
+    """Of 64-bit hashes (n, lanes): the bits set in over half the rows, one number a lane."""
+    n, lanes = h.shape
+    counts = np.zeros(64 * lanes, dtype=np.int64)
+    for at in range(0, n, step):
+        bits = np.unpackbits(np.ascontiguousarray(h[at : at + step]).view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):
+            counts += bits[k : k + 255].sum(0, dtype=np.uint8)
+    return np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view("<u8")
+
+
 def simhash(text: str, shingle: int = SHINGLE) -> int:
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
@@ -52,20 +91,70 @@ def simhash(text: str, shingle: int = SHINGLE) -> int:
     digest = xxhash.xxh64_intdigest
     n = len(words) - k + 1
     h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), dtype=np.uint64, count=n)
-    bits = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 255):
-        counts += bits[at : at + 255].sum(0, dtype=np.uint8)
-    return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view("<u8")[0])
+    return int(_majority(h[:, None])[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            fp = np.array([simhash(t, shingle) for t in batch.text], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch.doc_id, "fp": fp.view(np.int64)})
+_ODD = np.random.default_rng(11).integers(1 << 62, 1 << 63, PROPOSING + WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mixed(h: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """Independent hashes of each number, one a multiplier."""
+    x = (h[:, None] ^ (h[:, None] >> np.uint64(31))) * odd[None, :]
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
-    return common.keyed_texts(docs).mapInPandas(run, "doc_id long, fp long")
+
+class Signatures:
+    """PROPOSING fingerprints of a text's distinct words and WIDE longs of its distinct five-word shingles."""
+
+    def __init__(self, most: int = 300_000):
+        self.cache: dict[bytes, int] = {}
+        self.most = most
+
+    def __call__(self, text: str) -> np.ndarray:
+        words = text.encode("utf-8", "replace").lower().split()
+        if not words:
+            return np.zeros(PROPOSING + WIDE, dtype=np.int64)
+        if len(self.cache) > self.most:
+            self.cache.clear()
+        for w in set(words).difference(self.cache):
+            self.cache[w] = xxhash.xxh64_intdigest(w, 42)
+        h = np.fromiter(map(self.cache.__getitem__, words), dtype=np.uint64, count=len(words))
+        k = min(WIDE_SHINGLE, len(words))
+        s = np.zeros(len(words) - k + 1, dtype=np.uint64)
+        for i in range(k):
+            s = (s ^ h[i : len(h) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+            s ^= s >> np.uint64(29)
+        parts = [self._fold(np.unique(h), _ODD[:PROPOSING]), self._fold(np.unique(s), _ODD[PROPOSING:])]
+        return np.concatenate(parts).view(np.int64)
+
+    @staticmethod
+    def _fold(h: np.ndarray, odd: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+        if len(h) <= step:
+            return _majority(_mixed(h, odd))
+        # long texts: the lanes one after the other
+        return np.concatenate([_majority(_mixed(h, odd[i : i + 1])) for i in range(len(odd))])
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Nodes link if one of the fingerprints `prints` is at most `distance` bits apart, and the `wide` ones together at most `most`."""
+
+    prints: tuple[str, ...]
+    distance: int = DISTANCE
+    wide: tuple[str, ...] = field(default=())
+    most: int = 0
+
+    @property
+    def columns(self) -> list[str]:
+        return [*self.prints, *self.wide]
+
+    def near(self, a: str, b: str) -> Column:
+        """The condition for columns with the prefixes a and b."""
+        apart = lambda c: F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")))
+        found = reduce(or_, [apart(c) <= self.distance for c in self.prints])
+        return found & (reduce(add, map(apart, self.wide)) <= self.most) if self.wide else found
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -74,7 +163,7 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Labels spread from neighbours and then jump to the label of the label, so long
     chains take few rounds. Each round is written to the checkpoint folder.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
     if both.isEmpty():
         return both.select(F.col("a").alias("node"), F.col("b").alias("label"))
     labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label"))
@@ -93,51 +182,128 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _keys(nodes: DataFrame, masks: list[int]) -> DataFrame:
-    held = nodes.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("t", "mask"))
-    # a 32-bit hash of mask and block values is less to shuffle; where two meet by chance, the distance tells
-    return held.select("fp", F.hash("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("k"))
+def _keys(nodes: DataFrame, rule: Rule, blocks: int) -> DataFrame:
+    """node and k, a hash of the mask's number and the blocks it keeps; a chance collision is told by the distance."""
+    masks = F.array(*[F.lit(m).cast("long") for m in block_masks(blocks, rule.distance)])
+    prints = nodes.select("node", F.posexplode(F.array(*rule.prints)).alias("s", "fp"))
+    held = prints.select("node", "s", "fp", F.posexplode(masks).alias("t", "mask"))
+    return held.select("node", F.xxhash64("s", "t", F.col("fp").bitwiseAND(F.col("mask"))).alias("k"))
+
+
+def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.toDF(*[f"{prefix}{c}" for c in df.columns])
 
 
-def component_table(spark: SparkSession, nodes: DataFrame, distance: int = DISTANCE, blocks=BLOCKS) -> DataFrame:
-    """(fp, component) for distinct fingerprints fp; component is the smallest one reachable.
+class _Search:
+    """The state of one search: nodes with their labels, and the rows (k, node) of buckets still looked at."""
 
-    There must be more blocks than bits of distance. Only the first look at the buckets
-    shuffles all keys; keys that a bitmap shows to stand alone go no further.
+    def __init__(self, spark: SparkSession, nodes: DataFrame, rule: Rule):
+        self.spark, self.rule = spark, rule
+        self.nodes = nodes.select("node", "label", *rule.columns)
+        self.held: DataFrame | None = None
+        self.tables: list[str] = []
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        table, path = common.saved(self.spark, df, name)
+        self.tables.append(path)
+        return table
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Labels (a, b) of the pairs (node, c) of different labels that are near."""
+        some = common.maybe_among(self.nodes, ["node"], pairs.select(F.explode(F.array("node", "c")).alias("node"))).where("__maybe").drop("__maybe")
+        left, right = _prefixed(some, "x_"), _prefixed(some, "y_")
+        both = pairs.join(left, F.col("node") == F.col("x_node")).join(right, F.col("c") == F.col("y_node"))
+        return both.where((F.col("x_label") != F.col("y_label")) & self.rule.near("x_", "y_")).select(F.col("x_label").alias("a"), F.col("y_label").alias("b")).distinct()
+
+    def relabel(self, edges: DataFrame) -> None:
+        merged = connected(edges).select(F.col("node").alias("old"), F.col("label").alias("new"))
+        held = self.nodes.join(merged, F.col("label") == F.col("old"), "left")
+        self.nodes = self.saved(held.withColumn("label", F.coalesce("new", "label")).drop("old", "new"), "labelled")
+
+    def star(self, mask: int) -> bool:
+        """Holds the nodes of each bucket with several labels against one of them; false if there is no such bucket."""
+        flip = F.lit(mask).cast("long")
+        members = self.held.join(self.nodes.select("node", "label"), "node")
+        mixed = members.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.col("node").bitwiseXOR(flip)).bitwiseXOR(flip).alias("c"))
+        mixed = self.saved(mixed.where("low < high").select("k", "c"), "mixed")
+        if mixed.isEmpty():
+            return False
+        open_ = self.saved(self.held.join(mixed, "k"), "open")
+        self.held = open_.select("k", "node")
+        # a node in many buckets is held against the first and the last of its centres alone; the rest is for the rounds to come
+        ends = open_.where("node <> c").groupBy("node").agg(F.min("c").alias("first"), F.max("c").alias("last"))
+        self.relabel(self.verified(ends.select("node", F.explode(F.array_distinct(F.array("first", "last"))).alias("c"))))
+        return True
+
+    def cross(self) -> None:
+        """Joins what is left: nodes outside a bucket's smallest label with those of smaller labels."""
+        members = self.saved(self.held.join(self.nodes, "node"), "members")
+        mixed = members.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select(F.col("k").alias("mixed"), "low")
+        open_ = members.join(mixed, F.col("k") == F.col("mixed")).drop("mixed")
+        left, right = _prefixed(open_.where("label > low"), "x_"), _prefixed(open_, "y_")
+        pairs = left.join(right, (F.col("x_k") == F.col("y_k")) & (F.col("y_label") < F.col("x_label")) & self.rule.near("x_", "y_"))
+        self.relabel(pairs.select(F.col("x_label").alias("a"), F.col("y_label").alias("b")).distinct())
+
+
+def component_table(spark: SparkSession, nodes: DataFrame, rule: Rule, blocks: int | None = None) -> DataFrame:
+    """nodes (a written table of node and the rule's columns) with component, the smallest node reachable.
+
+    Only the first look at the buckets shuffles all keys; keys that a bitmap shows to
+    stand alone go no further.
     """
-    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= distance
-    keyed = _keys(nodes, block_masks(blocks, distance))
-    found = keyed.groupBy("k").agg(F.min("fp").alias("c_fp"), F.max("fp").alias("last")).where("c_fp < last").select("k", "c_fp")
-    centres, centres_at = common.saved(spark, found, "centres")
-    held = common.maybe_among(keyed, ["k"], centres).where("__maybe").join(centres, "k").select("k", "fp", "c_fp")
-    held, held_at = common.saved(spark, held, "buckets")
-    stars = held.where((F.col("fp") != F.col("c_fp")) & near(F.col("fp"), F.col("c_fp"))).select(F.col("fp").alias("a"), F.col("c_fp").alias("b")).distinct().checkpoint()
-    first = connected(stars)
-    labelled = nodes.join(first, nodes.fp == first.node, "left").select("fp", F.coalesce("label", "fp").alias("label")).checkpoint()
-
-    members = held.select("k", "fp").join(labelled, "fp")
-    members, members_at = common.saved(spark, members, "members")
-    mixed = members.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("k", "low")
-    open_ = members.join(mixed, "k")
-    left = open_.where("label > low").select("k", F.col("fp").alias("fp_a"), F.col("label").alias("a"))
-    right = open_.select("k", "fp", F.col("label").alias("b"))
-    cross = left.join(right, (left.k == right.k) & (F.col("b") < F.col("a")) & near(F.col("fp_a"), F.col("fp"))).select("a", "b").distinct().checkpoint()
-    second = connected(cross).select(F.col("node").alias("label"), F.col("label").alias("component"))
-    out = labelled.join(second, "label", "left").select("fp", F.coalesce("component", "label").alias("component")).checkpoint()
-    common.remove(spark, centres_at, held_at, members_at)
+    keyed = _keys(nodes, rule, blocks or blocks_for(nodes.count(), rule.distance))
+    search = _Search(spark, nodes.withColumn("label", F.col("node")), rule)
+    found = keyed.groupBy("k").agg(F.min("node").alias("c"), F.max("node").alias("last")).where("c < last").select("k")
+    shared = search.saved(found, "shared")
+    search.held = search.saved(common.maybe_among(keyed, ["k"], shared).where("__maybe").join(shared, "k").select("k", "node"), "buckets")
+    for mask in CENTRES:
+        if not search.star(mask):
+            break
+    else:
+        search.cross()
+    out = search.nodes.withColumnRenamed("label", "component").checkpoint()
+    common.remove(spark, *search.tables)
     return out
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE, blocks=BLOCKS, shingle: int = SHINGLE) -> DataFrame:
+def _grouped(spark: SparkSession, prints: DataFrame, rule: Rule) -> DataFrame:
+    """prints (doc_id and the rule's columns) with component_id, the smallest doc_id reachable."""
+    nodes, nodes_at = common.saved(spark, prints.groupBy(*rule.columns).agg(F.min("doc_id").alias("node")), "nodes")
+    # a checkpoint brings no partitioning along that would keep a large group in one task
+    parts = component_table(spark, nodes, rule).select(F.col("component").alias("component_id"), *rule.columns)
+    common.remove(spark, nodes_at)
+    return prints.join(parts, rule.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable)."""
     common.prepare(spark)
-    prints = fingerprints(docs, shingle).checkpoint()
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).checkpoint()
-    parts = nodes.join(component_table(spark, nodes.select("fp"), distance, blocks), "fp")
-    # read again, the groups bring no partitioning along that would keep a large one in one task
-    ids, _ = common.saved(spark, parts.groupBy("component").agg(F.min("first").alias("component_id")), "components")
-    parts = parts.join(ids, "component").select("fp", "component_id")
-    return prints.join(parts, "fp").select("doc_id", "fp", "component_id")
+
+    def run(batches):
+        for batch in batches:
+            fp = np.array([simhash(t, shingle) for t in batch.text], dtype=np.uint64)
+            yield pd.DataFrame({"doc_id": batch.doc_id, "fp": fp.view(np.int64)})
+
+    prints = common.keyed_texts(docs).mapInPandas(run, "doc_id long, fp long").checkpoint()
+    return _grouped(spark, prints, Rule(("fp",), distance)).select("doc_id", "fp", "component_id")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, most: int = WIDE_BITS, distance: int = DISTANCE) -> DataFrame:
+    """doc_id, text_hash (xxhash64 of the text, to tell rows with one doc_id apart), component_id (smallest doc_id reachable)."""
+    common.prepare(spark)
+    rule = Rule(tuple(f"f{i}" for i in range(PROPOSING)), distance, tuple(f"w{i}" for i in range(WIDE)), most)
+
+    def run(batches):
+        make = Signatures()
+        for batch in batches:
+            out = pd.DataFrame(np.array([make(t) for t in batch.text], dtype=np.int64).reshape(-1, PROPOSING + WIDE), columns=rule.columns)
+            out.insert(0, "doc_id", batch.doc_id.to_numpy())
+            out.insert(1, "text_hash", batch.text_hash.to_numpy())
+            yield out
+
+    texts = common.keyed_texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    schema = "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in rule.columns)
+    return _grouped(spark, texts.mapInPandas(run, schema).checkpoint(), rule).select("doc_id", "text_hash", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
