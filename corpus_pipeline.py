@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; run() writes each
 stage's rows as Parquet in the shared folder and reads them again for the next.
-Every stage but the last gives the columns of documents.
+Every stage but the last gives the columns of documents, all of them, whatever their
+names. Null texts count as empty ones and stay null where they stay; an empty table
+passes through; texts are worked on whole.
 """
 
 import pandas as pd
@@ -13,22 +15,23 @@ from pyspark.sql.functions import pandas_udf
 from tallyfold.llm import common, packing, secret_scan, simhash, substring_dedup, toxicity
 
 THRESHOLD = 0.5
-#: Texts of similarity 0.8 (five-word shingles) differ in more bits than the 4 that the fingerprint query links;
-#: a changed word changes as many shingles as they have words, so short ones leave such texts nearer.
-NEAR_BITS, NEAR_BLOCKS, NEAR_SHINGLE = 6, 9, 3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier (fitted on the labelled ones) doesn't reject."""
+    """Documents that the classifier (fitted on the labelled ones) doesn't reject; a null text scores as an empty one."""
     machine = toxicity.train(spark, docs, common.read_table(spark, sf_dir, "labels"))
     return docs.where(toxicity.scorer(spark, machine)("text") < THRESHOLD)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group; rows without doc_id stay."""
-    groups = simhash.near_duplicates(spark, docs, NEAR_BITS, simhash.even_blocks(NEAR_BLOCKS), NEAR_SHINGLE)
-    copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(copies, F.col("doc_id") == F.col("__copy"), "left_anti")
+    """The document with the smallest doc_id of each group of near copies (five-word similarity 0.8); rows without doc_id stay.
+
+    Rows that repeat the kept document's doc_id and text stay with it.
+    """
+    doc, text = common.spare_names(docs, "copy_id", "copy_hash")
+    copies = simhash.near_copies(spark, docs).where("doc_id <> component_id").select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)).distinct()
+    own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.join(copies, (F.col("doc_id") == F.col(doc)) & (own == F.col(text)), "left_anti")
 
 
 def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,29 +43,32 @@ def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
         rows = zip(texts, starts, counts, strict=True)
         return pd.Series([None if s is None else b" ".join(substring_dedup.kept_words(t, s, n)[0]).decode("utf-8") for t, s, n in rows], dtype=object)
 
-    cut = substring_dedup.cut(spark, docs)
-    text = F.when(F.col("__starts").isNull(), F.col("text")).otherwise(kept("text", "__starts", "__counts"))
-    return _with_text(cut, text).select(*docs.columns)
+    cut, starts, counts = substring_dedup.cut(spark, docs)
+    text = F.when(F.col(starts).isNull(), F.col("text")).otherwise(kept("text", starts, counts))
+    return _with_text(cut, text, docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with the secrets found replaced by a mark."""
+    """Texts with the secrets found replaced by a mark; null texts stay null."""
     common.prepare(spark)
-    scanned = secret_scan.scan(docs, secret_scan.train(spark))
-    return _with_text(scanned, F.col("__scan.redacted")).select(*docs.columns)
+    (out,) = common.spare_names(docs, "scan")
+    scanned = secret_scan.scan(docs, secret_scan.train(spark), out=out)
+    return _with_text(scanned, F.col(f"{out}.redacted"), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of each document, with its sequence and place there; rows without doc_id are left out."""
     return packing.pack_documents(spark, docs)
 
 
-def _with_text(docs: DataFrame, text) -> DataFrame:
+def _with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
     """docs with a new text, and n_chars to match where the text changed."""
-    out = docs.withColumn("__new", text)
-    if "n_chars" in docs.columns:
-        changed = ~F.col("__new").eqNullSafe(F.col("text"))
-        out = out.withColumn("n_chars", F.when(changed, F.char_length("__new").cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("__new"))
+    (new,) = common.spare_names(docs, "new_text")
+    out = docs.withColumn(new, text)
+    if "n_chars" in columns:
+        changed = ~F.col(new).eqNullSafe(F.col("text"))
+        out = out.withColumn("n_chars", F.when(changed, F.char_length(new).cast("long")).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col(new)).select(*columns)
 
 
 STAGES = [
@@ -79,8 +85,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         path = common.shared_dir(spark, f"pipeline-{k}-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            common.remove(spark, before)
+        before = path
     return docs
