@@ -11,7 +11,8 @@ estimates the cosine of the multisets (standard error about 0.09).
 Defined cases: a null text is empty; an empty text, or one of white space, is the empty
 multiset (all lanes zero) and is like another such text with 1, like others with 0;
 rows without doc_id are left out; rows with the same doc_id are ordered by their text;
-a table of one row has itself as next document.
+a table of one row has itself as next document; an empty table gives no rows; texts of
+any length are hashed whole; other columns are not read.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,7 +25,10 @@ PARAGRAPH = r"[^\n.!?|]{1,160}[.!?|]*|[.!?|]+"
 SEEDS = (0, 1, 2, 3)
 MOD32 = (1 << 32) - 1
 ROWS_PER_BUCKET = 4096
-COARSE = 256
+#: Shares of doc_id by quantiles, and of each share by its own: at most COARSE * FINE buckets, and so many numbers broadcast.
+COARSE, FINE = 256, 1024
+#: Tasks at most that buckets are dealt to.
+LANES = 8192
 
 
 def paragraphs(text: str | Column) -> Column:
@@ -88,15 +92,31 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a["eq"] == b["eq"], F.lit(1.0)).when(size <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / size)))
 
 
-def bucket_of(doc_id: Column, bounds: list[int], fine: int) -> Column:
-    """A bucket number that never falls as doc_id grows: the share between bounds, then equal slices of it."""
-    if len(bounds) < 2:
-        return F.lit(0).cast("long")
-    edges = F.lit(bounds)
-    coarse = F.greatest(F.lit(0), F.size(F.filter(edges, lambda b: b <= doc_id)) - 1)
-    lo, hi = F.get(edges, coarse).cast("double"), F.coalesce(F.get(edges, coarse + 1), F.lit(bounds[-1])).cast("double")
-    part = F.floor((doc_id.cast("double") - lo) * fine / F.greatest(hi - lo, F.lit(1.0)))
-    return coarse.cast("long") * fine + F.greatest(F.lit(0), F.least(F.lit(fine - 1), part)).cast("long")
+def _slot(value: Column, edges: Column) -> Column:
+    """How many of the sorted edges, but the first, are not above the value."""
+    return F.size(F.filter(edges, lambda b: b <= value))
+
+
+def with_buckets(texts: DataFrame) -> tuple[DataFrame, int]:
+    """texts with a bucket number, and how many buckets there are; it never falls as doc_id grows, about ROWS_PER_BUCKET rows a bucket however doc_id is spread.
+
+    Quantiles of doc_id cut the table into shares, and each share's own quantiles cut it
+    into buckets; each step is one aggregation of sketches, and only quantiles are broadcast.
+    """
+    n = texts.count()
+    wanted = -(-n // ROWS_PER_BUCKET)
+    if wanted < 2:
+        return texts.withColumn("bucket", F.lit(0).cast("long")), 1
+    shares = min(COARSE, wanted)
+    fine = min(FINE, -(-wanted // shares))
+    cuts = lambda k: [i / k for i in range(1, k)]
+    edges = sorted(set(texts.agg(F.percentile_approx("doc_id", cuts(shares), 20 * shares + 1000)).first()[0]))
+    coarse = texts.withColumn("share", _slot(F.col("doc_id"), F.lit(edges)))
+    if fine < 2:
+        return coarse.withColumn("bucket", F.col("share").cast("long")).drop("share"), shares
+    inner = coarse.groupBy(F.col("share").alias("of")).agg(F.percentile_approx("doc_id", cuts(fine), 20 * fine + 1000).alias("edges"))
+    held = coarse.join(F.broadcast(inner), F.col("share") == F.col("of"))
+    return held.withColumn("bucket", F.col("share").cast("long") * fine + _slot(F.col("doc_id"), F.array_distinct("edges"))).drop("share", "of", "edges"), shares * fine
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -106,20 +126,20 @@ def with_next(docs: DataFrame) -> DataFrame:
     as a guest, to the bucket before it in order, so no bucket needs another's rows.
     """
     texts = common.keyed_texts(docs)
-    n = texts.count()
-    shares = max(1, min(COARSE, -(-n // ROWS_PER_BUCKET)))
-    bounds = texts.agg(F.percentile_approx("doc_id", [i / shares for i in range(shares)] + [1.0], 20 * shares + 1000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    dealt = texts.withColumn("bucket", bucket_of(F.col("doc_id"), bounds, max(1, -(-n // (shares * ROWS_PER_BUCKET)))))
+    dealt, buckets = with_buckets(texts)
+    lanes = min(buckets, LANES)
     heads = dealt.groupBy("bucket").agg(F.max("doc_id").alias("head"))
+    # one row a bucket, at most COARSE * FINE, passes one task
     order = Window.orderBy("bucket")
     heads = heads.select("head", F.lead("bucket").over(order).alias("up"), F.first("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("lowest"))
     heads = heads.select("head", F.coalesce("up", "lowest").alias("guest_of"), F.when(F.col("up").isNull(), 2).otherwise(1).alias("guest"))
     own = dealt.withColumn("guest", F.lit(0))
     guests = common.maybe_among(texts.withColumnRenamed("doc_id", "head"), ["head"], heads).where("__maybe").join(heads, "head")
     placed = own.union(guests.select(F.col("head").alias("doc_id"), "text", F.col("guest_of").alias("bucket"), "guest"))
-    vectors = with_vector(placed.repartition(F.col("bucket")), "text", "v")
-    w = Window.partitionBy("bucket").orderBy("guest", F.desc("doc_id"), "text")
+    # a bucket a task, as far as there are so many tasks; the window takes the rows as they are dealt
+    dealt = placed.withColumn("lane", F.pmod("bucket", F.lit(lanes)).cast("int")).repartitionById(lanes, "lane")
+    vectors = with_vector(dealt, "text", "v")
+    w = Window.partitionBy("lane", "bucket").orderBy("guest", F.desc("doc_id"), "text")
     return vectors.select("doc_id", "text", "v", "guest", F.lead("text").over(w).alias("next_text"), F.lead("v").over(w).alias("next_v")).where("guest = 0").drop("guest")
 
 
