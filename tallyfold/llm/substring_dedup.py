@@ -83,7 +83,7 @@ class Bytes:
     """A document's words, joined by one space, and the XXH64 of any run of them."""
 
     def __init__(self, words: list[bytes]):
-        self.joined = memoryview(b" ".join(words))
+        self.joined = b" ".join(words)
         ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
         self.starts, self.ends = np.concatenate([[0], ends[:-1]]), ends - 1
 
