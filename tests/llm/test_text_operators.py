@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -142,7 +143,7 @@ def test_simhash_equals_brute_force(spark, data, folder):
     assert got == {d: (f"{prints[d]:016x}", parts[d]) for d in prints}
 
 
-@pytest.mark.parametrize(("seed", "distance", "blocks"), [(0, 4, 6), (1, 4, 6), (2, 4, 6), (3, 6, 9)])
+@pytest.mark.parametrize(("seed", "distance", "blocks"), [(0, 4, None), (1, 4, 6), (2, 4, 9), (3, 6, 9)])
 def test_components_of_planted_fingerprints(spark, seed, distance, blocks):
     """Chains, dense balls and lone nodes: as brute force over all pairs."""
     r = random.Random(seed)
@@ -155,11 +156,10 @@ def test_components_of_planted_fingerprints(spark, seed, distance, blocks):
             prints.add(b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, distance + 1))))
     signed = lambda p: p - (1 << 64) if p >> 63 else p
     prints = dict(enumerate(sorted(prints, key=signed)))
-    nodes = spark.createDataFrame([(signed(p),) for p in prints.values()], "fp long")
+    nodes = spark.createDataFrame([(i, signed(p)) for i, p in prints.items()], "node long, fp long")
     common.prepare(spark)
-    table = simhash.component_table(spark, nodes, distance, simhash.BLOCKS if distance == simhash.DISTANCE else simhash.even_blocks(blocks))
-    got = {r.fp: r.component for r in table.collect()}
-    assert got == {signed(prints[i]): signed(prints[c]) for i, c in brute_components(prints, distance).items()}
+    table = simhash.component_table(spark, nodes, simhash.Rule(("fp",), distance), blocks)
+    assert {r.node: r.component for r in table.collect()} == brute_components(prints, distance)
 
 
 def test_packing_is_whole_and_tight(spark, folder, data):
@@ -171,6 +171,11 @@ def test_packing_is_whole_and_tight(spark, folder, data):
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
         mine = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == d)
         assert mine == [(k, a, len(p := ids[a : a + 2048]), zlib.crc32(p.tobytes())) for k, a in enumerate(range(0, len(ids), 2048))]
+    assert n_sequences(rows) == -(-sum(r.length for r in rows) // 2048)
+
+
+def n_sequences(rows, capacity=2048):
+    """How many there are; each must be gapless and fit."""
     by = {}
     for r in rows:
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -179,8 +184,22 @@ def test_packing_is_whole_and_tight(spark, folder, data):
         for offset, length in sorted(parts):
             assert offset == at
             at += length
-        assert at <= 2048
-    assert len(by) == -(-sum(r.length for r in rows) // 2048)
+        assert at <= capacity
+    return len(by)
+
+
+@pytest.mark.parametrize("group", [3, 16, 200])
+def test_packing_over_many_groups(spark, group):
+    """What groups leave open is packed again: the room lost doesn't add up over the groups."""
+    r = random.Random(group)
+    lengths = [r.choice([r.randint(1, 60), r.randint(100, 1900), 2048]) for _ in range(3000)]
+    pieces = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    common.prepare(spark)
+    rows = packing.pack(spark, pieces, group=group).collect()
+    assert sorted((x.doc_id, x.length) for x in rows) == list(enumerate(lengths))
+    n, least = n_sequences(rows), -(-sum(lengths) // 2048)
+    groups = -(-len(lengths) // group)
+    assert n <= least + groups
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -196,6 +215,40 @@ def test_local_search_never_uses_more_bins(seed):
     assert squares(after) >= squares(before)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_local_search_leaves_no_exchange(seed):
+    """When it stops above the lower bound, no move or exchange of one or two pieces against one increases squared fill."""
+    rng = np.random.default_rng(seed)
+    capacity = 60
+    lengths = rng.choice(np.array([21, 22, 23, 31, 33, 35, 7, 8]) if seed % 2 else np.array([22, 23, 24, 31, 32]), 60)
+    bins = packing.LocalSearch(lengths, packing.best_fit(lengths, capacity), capacity).run()
+    assert sorted(i for b in bins for i in b) == list(range(60))
+    if len(bins) == -(-lengths.sum() // capacity):
+        return
+    fills = [int(lengths[b].sum()) for b in bins]
+    for a, mine in enumerate(bins):
+        for b, theirs in enumerate(bins):
+            if a == b or fills[a] >= capacity or fills[b] >= capacity:
+                continue
+            some = lambda items, most: [c for k in range(most + 1) for c in itertools.combinations(items, k)]
+            for gives in some(mine, 2):
+                for takes in some(theirs, 2):
+                    if len(gives) == 2 and len(takes) == 2:
+                        continue
+                    gain = int(lengths[list(takes)].sum()) - int(lengths[list(gives)].sum())
+                    if gain > 0 and fills[a] + gain <= capacity:
+                        assert (fills[a] + gain) ** 2 + (fills[b] - gain) ** 2 <= fills[a] ** 2 + fills[b] ** 2
+
+
+def test_two_for_one_exchanges_in_bins_of_many_pieces():
+    """30 small pieces in a bin: the two that make room for a larger one are still found."""
+    lengths = np.array([3] * 28 + [4, 4] + [9] + [91])
+    search = packing.LocalSearch(lengths, [list(range(30)), [30], [31]], 100)
+    assert search.fill == [92, 9, 91]
+    bins = search.run()
+    assert sorted(int(lengths[b].sum()) for b in bins) == [92, 100]
+
+
 def test_tiktoken_round_trip_and_long_texts(spark, folder, data):
     import tiktoken
 
@@ -253,49 +306,24 @@ def test_sstable_round_trip_and_lookup(spark, folder, data, tmp_path):
     assert [k for k, _ in shard] == sorted(values)
 
 
-def test_sstable_of_many_shards(spark, data, folder, monkeypatch):
-    monkeypatch.setattr(sstable.id_bounds, "__defaults__", (7,))
-    one = {r.doc_id: r for r in sstable.op9_sstable(spark, folder).collect()}
-    assert len(one) == len(data)
-    starts = [one[d].start for d in sorted(one)]
-    assert starts == np.concatenate([[0], np.cumsum([one[d].n_tokens for d in sorted(one)])[:-1]]).tolist()
+def test_sstable_of_many_shards(spark, data, folder):
+    want = sorted(sstable.op9_sstable(spark, folder).collect())
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for task_bytes, per_shard in ((3000, 4096), (1 << 30, 7), (4000, 2)):
+        shards = sstable.write_shards(spark, docs, common.shared_dir(spark, "shards"), common.tokenizer_path("word_bpe_49k.json"), task_bytes=task_bytes, per_shard=per_shard)
+        assert shards.count() > 5 and shards.where(f"docs > {per_shard}").count() == 0
+        assert sorted(sstable.read_shards(spark, shards).collect()) == want
+    files = [r.file for r in shards.orderBy("share", "shard").collect()]
+    kept = [doc for f in files for doc, _ in sstable.Shard(f)]
+    assert kept == sorted(d[0] for d in data)
 
 
-def test_telephony(spark, folder, data):
-    assert telephony.MULAW_PCM[[0, 127, 128, 255]].tolist() == [-32124, 0, 32124, 0]
-    assert telephony.ALAW_PCM[[0x55, 0xD5, 0x2A, 0xAA]].tolist() == [-8, 8, -32256, 32256]
-    got = {r.doc_id: r for r in telephony.op8_telephony(spark, folder).collect()}
-    for d, t, *_ in data:
-        raw = (t or "").encode()
-        size = max(64, -(-len(raw) // 64) * 64)
-        padded = raw.ljust(size, b"\0")
-        assert (got[d].n_bytes, got[d].payload_bytes, got[d].payload_sha256, got[d].tail_crc32) == (len(raw), size, hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
-        media = telephony.write_wav(padded, telephony.MULAW)
-        assert telephony.read_wav(media) == (7, 8000, padded)
-        assert (got[d].media_bytes, got[d].media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
-
-
-def test_adpcm_equals_a_plain_decoder(spark):
-    blocks = np.random.default_rng(5).integers(0, 256, (9, 64), dtype=np.uint8)
-    got = telephony.decode_adpcm(blocks)
-    for block, pcm in zip(blocks, got, strict=True):
-        value = int.from_bytes(bytes(block[:2]), "little", signed=True)
-        index, want = min(int(block[2]), 88), [value]
-        for b in block[4:].tolist():
-            for code in (b & 15, b >> 4):
-                step = int(telephony.STEPS[index])
-                d = step >> 3
-                d += (step >> 2) * (code & 1) + (step >> 1) * (code >> 1 & 1) + step * (code >> 2 & 1)
-                value = max(-32768, min(32767, value - d if code & 8 else value + d))
-                index = max(0, min(88, index + int(telephony.INDEX_STEPS[code & 7])))
-                want.append(value)
-        assert pcm.tolist() == want
-    media = [(0, telephony.write_wav(blocks.tobytes(), telephony.ADPCM)), (1, b"junk"), (2, None), (3, telephony.write_wav(bytes(range(256)), telephony.ALAW))]
-    out = {r.doc_id: r.pcm for r in telephony.to_pcm(spark.createDataFrame(media, "doc_id long, media binary")).collect()}
-    assert out[1] is None and out[2] is None
-    codec, rate, pcm = telephony.read_wav(bytes(out[3]))
-    assert (codec, rate, len(pcm)) == (1, 16000, 1024)
-    assert np.frombuffer(pcm, dtype="<i2")[::2].tolist() == telephony.ALAW_PCM.tolist()
+def test_sstable_of_wide_ids(tmp_path):
+    writer = sstable.ShardWriter(f"{tmp_path}/w.sst", 4)
+    writer.add(5, np.array([70_000, 1], dtype="<u4").tobytes())
+    writer.close()
+    assert sstable.Shard(f"{tmp_path}/w.sst").get(5).tolist() == [70_000, 1]
+    assert sstable.id_width(common.tokenizer_path("word_bpe_49k.json")) == 2
 
 
 def brute_vector(text):
@@ -346,6 +374,22 @@ def test_multiset_hash_over_many_buckets(spark, folder, monkeypatch):
     assert sorted(multiset_hash.op10_multiset_hash(spark, folder).collect()) == one
     monkeypatch.setattr(multiset_hash, "COARSE", 3)
     assert sorted(multiset_hash.op10_multiset_hash(spark, folder).collect()) == one
+    monkeypatch.setattr(multiset_hash, "LANES", 2)
+    assert sorted(multiset_hash.op10_multiset_hash(spark, folder).collect()) == one
+
+
+def test_buckets_of_uneven_ids(spark, monkeypatch):
+    """Ids crowded into one corner of their range still give buckets of even size, in order."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(multiset_hash, "ROWS_PER_BUCKET", 50)
+    monkeypatch.setattr(multiset_hash, "COARSE", 8)
+    docs = spark.range(4000).select((F.when(F.col("id") % 20 > 0, F.col("id")).otherwise(F.col("id") * 10**12)).alias("doc_id"), F.lit("x").alias("text"))
+    table, n = multiset_hash.with_buckets(docs)
+    rows = sorted((r.doc_id, r.bucket) for r in table.collect())
+    assert [b for _, b in rows] == sorted(b for _, b in rows) and n == 80
+    sizes = np.unique([b for _, b in rows], return_counts=True)[1]
+    assert sizes.max() <= 100
 
 
 def test_secret_scan(spark):
@@ -354,13 +398,13 @@ def test_secret_scan(spark):
     texts = [f'say token = "{h}" then', f"commit {h} by me", "plain words only", None, "", f"use {key} now", "see docs/config/file_2024/report.txt here", "card 4539148803436467 paid", f'password = "Zk9{h[:3]}qW!x"', f'a\x01b secret: {h}\n"x"']
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumnRenamed("doc_id", "d")
     out = {r.d: r for r in secret_scan.scan(df, secret_scan.train(spark)).collect()}
-    found = [i for i, r in out.items() if r["__scan"]["findings"]]
+    found = [i for i, r in out.items() if r["scan"]["findings"]]
     assert sorted(found) == [0, 5, 8, 9]
-    assert out[0]["__scan"]["redacted"] == 'say token = "[SECRET]" then'
-    assert out[9]["__scan"]["redacted"] == 'a b secret: [SECRET]\n"x"'
-    assert out[3]["__scan"]["redacted"] is None and out[4]["__scan"]["redacted"] == ""
-    assert out[1]["__scan"]["redacted"] == texts[1] and out[1]["__scan"]["n_candidates"] == 1
-    assert out[0]["__scan"]["findings"][0]["sha256"] == hashlib.sha256(h.encode()).hexdigest()
+    assert out[0]["scan"]["redacted"] == 'say token = "[SECRET]" then'
+    assert out[9]["scan"]["redacted"] == 'a b secret: [SECRET]\n"x"'
+    assert out[3]["scan"]["redacted"] is None and out[4]["scan"]["redacted"] == ""
+    assert out[1]["scan"]["redacted"] == texts[1] and out[1]["scan"]["n_candidates"] == 1
+    assert out[0]["scan"]["findings"][0]["sha256"] == hashlib.sha256(h.encode()).hexdigest()
 
 
 def test_texts_without_signs_have_no_candidates(spark):
@@ -371,7 +415,7 @@ def test_texts_without_signs_have_no_candidates(spark):
     alphabet = ["a", "Z", "7", "0", "_", "-", "/", "+", ".", "=", " ", " ", "\n", "token", "secret=", "pwd: ", "abcdefgh", "-----BEGIN RSA PRIVATE KEY-----"]
     texts = ["".join(r.choice(alphabet) for _ in range(r.randint(3, 30))) for _ in range(1500)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {x.doc_id: x.n for x in secret_scan.scan(df, "0D").select("doc_id", F.col("__scan.n_candidates").alias("n")).collect()}
+    got = {x.doc_id: x.n for x in secret_scan.scan(df, "0D").select("doc_id", F.col("scan.n_candidates").alias("n")).collect()}
     want = {x.doc_id: x.n for x in df.select("doc_id", F.regexp_count("text", F.lit(secret_scan.CANDIDATE)).alias("n")).collect()}
     assert got == want and 100 < sum(n > 0 for n in want.values()) < 1400
 
@@ -388,14 +432,15 @@ def test_secret_forest_holds_out(spark):
     assert right > 0.97
 
 
-@pytest.mark.parametrize("module,target,key,least", [(toxicity, "toxic", "toxicity", 0.97), (quality, "quality", "quality", 0.97)])
-def test_held_out_accuracy(spark, module, target, key, least):
-    query = {"toxicity": toxicity.op1_toxicity, "quality": quality.op3_quality}[key]
+@pytest.mark.parametrize(("query", "target", "least"), [(toxicity.op1_toxicity, "toxic", (0.97, 0.88, 0.99)), (quality.op3_quality, "quality", (0.97, 0.95, 0.95))])
+def test_held_out_rates(spark, query, target, least):
+    """Accuracy, and the share found of label 1 and of label 0. Of the 97 toxic held-out rows 6 have no word that tells (label noise)."""
     sf = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r[target] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    rows = [r for r in query(spark, sf).collect() if r.held_out and labels.get(r.doc_id) is not None]
+    rows = [(r.predicted, labels[r.doc_id]) for r in query(spark, sf).collect() if r.held_out and labels.get(r.doc_id) is not None]
     assert len(rows) > 300
-    assert np.mean([r.predicted == labels[r.doc_id] for r in rows]) > least
+    got = (np.mean([p == y for p, y in rows]), *(np.mean([p == y for p, y in rows if y == k]) for k in (1, 0)))
+    assert all(x >= y for x, y in zip(got, least, strict=True)), got
 
 
 def test_scores_without_labels(spark, data, tmp_path):
