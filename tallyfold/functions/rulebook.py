@@ -1,6 +1,7 @@
 """Scoring rules, identities and other row-wise rules, as columns."""
 
 import hashlib
+import json
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -25,9 +26,9 @@ def legal_score(a: Column, b: Column) -> Column:
 
 
 def would_win_game(own: Column, opponent: Column) -> Column:
-    """Whether one more point ends the game."""
-    after = own + 1
-    return ((after == 30) & (opponent == 29)) | ((after >= 21) & (after - opponent >= 2) & (after <= 30))
+    """Whether one more point ends the game: with 21 to 30 points and a lead of two, or at 30-29."""
+    lead = own - opponent + 1
+    return own.between(20, 29) & ((lead >= 2) | ((own == 29) & (lead == 1)))
 
 
 def extract_winner(games_1: Column, points_1: Column, games_2: Column, points_2: Column) -> Column:
@@ -52,8 +53,20 @@ def iso_monday(year: Column, week: Column) -> Column:
     return F.date_add(F.date_trunc("week", F.make_date(year, F.lit(1), F.lit(4))).cast("date"), (7 * (week - 1)).cast("int"))
 
 
+#: Characters whose case folding isn't their lower case, such as sharp s and final sigma.
+FOLDED = {ch: ch.casefold() for ch in map(chr, range(128, 0x110000)) if ch.casefold() != ch.lower()}
+
+
+def casefold(x: Column) -> Column:
+    """Full case folding: character by character only where a text has any beyond ASCII."""
+    table = F.from_json(F.lit(json.dumps(FOLDED)), "map<string,string>")
+    each = F.transform(F.split(x, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), F.lower(ch)))
+    return F.when(x.rlike("[^\\x00-\\x7f]"), F.array_join(each, "")).otherwise(F.lower(x))
+
+
 def normalize_name(x: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
+    """Case folded, with single spaces for runs of Unicode white space and none at the ends."""
+    return casefold(F.trim(F.regexp_replace(x, r"(?U)[\s\x1c-\x1f]+", " ")))
 
 
 def md5_bit(key: Column) -> Column:

@@ -37,6 +37,16 @@ def missing(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
     return rows.select(key).distinct().join(others.select(key), key, "left_anti")
 
 
+def one_to_one(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """The join of two frames of which each has every key exactly once; a repeated or lacking key raises as the rows are read."""
+    left = rows.groupBy(key).agg(*[F.first(c).alias(c) for c in rows.columns if c != key], F.count("*").alias("n_left"))
+    right = others.groupBy(key).agg(*[F.first(c).alias(c) for c in others.columns if c != key], F.count("*").alias("n_right"))
+    both = left.join(right, key, "full")
+    bad = F.concat(F.lit(f"{key} isn't one to one: "), F.col(key).cast("string"))
+    fine = F.when((F.col("n_left") == 1) & (F.col("n_right") == 1), F.lit(True)).otherwise(F.raise_error(bad).cast("boolean"))
+    return both.where(fine).drop("n_left", "n_right")
+
+
 def require_none(violations: DataFrame, what: str) -> None:
     bad = violations.limit(5).collect()
     if bad:

@@ -271,12 +271,12 @@ def paired_diff(spark, d):
 
 
 BOOT = """rk AS (SELECT diff, row_number() OVER (ORDER BY t_idx) - 1 AS i FROM df), nn AS (SELECT count(*) AS n, avg(diff) AS mean_diff FROM rk),
-mean AS (SELECT b, avg(diff) AS m FROM (SELECT b, ('0x' || substr(md5('7:' || b || ':' || k), 1, 8))::BIGINT % n AS i FROM nn, range(200) x(b), range(n) z(k)) JOIN rk USING (i) GROUP BY b)"""
+mean AS (SELECT b, avg(diff) AS m FROM (SELECT b, ('0x' || substr(md5('7:' || b || ':' || k), 1, 8))::BIGINT % n AS i FROM nn, range(10000) x(b), range(n) z(k)) JOIN rk USING (i) GROUP BY b)"""
 
 
 @query(SC + ", " + PAIR + ", " + BOOT + f" SELECT n, {r6('mean_diff')} AS mean_diff, {r6('quantile_cont(m, 0.025)')} AS lo, {r6('quantile_cont(m, 0.975)')} AS hi, {r6('least(1.0, 2 * least(avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN m >= 0 THEN 1.0 ELSE 0.0 END)))')} AS p_value FROM mean, nn GROUP BY n, mean_diff", recursive=True)
 def bootstrap_md5(spark, d):
-    out = scoring.bootstrap(scoring.paired(scored(spark, d), "log5", "elo"), 200)
+    out = scoring.bootstrap(scoring.paired(scored(spark, d), "log5", "elo"), 10_000)
     return out.select("n", *[rnd(c(x)).alias(x) for x in ("mean_diff", "lo", "hi", "p_value")])
 
 
@@ -289,10 +289,10 @@ def report_run(spark, d):
     return _rounded(scoring.summarize(log.where("scored")), "brier", "log_loss", "accuracy")
 
 
-@query(T + " SELECT k.t_idx AS k, count(r.t_idx) AS n FROM t k LEFT JOIN t r ON r.t_idx < k.t_idx WHERE k.t_idx % 50 = 0 GROUP BY 1")
+@query(T + " SELECT t_idx AS k, row_number() OVER (ORDER BY t_idx) - 1 AS n FROM t")
 def expanding_train(spark, d):
-    """Sizes of the training sets of refits every 50 matches; a size is an index, so no join is needed."""
-    return tl(spark, d).where("t_idx % 50 = 0").select(c("t_idx").alias("k"), c("t_idx").alias("n"))
+    """Sizes of the training sets of a refit before each match; a size is an index, so no join is needed."""
+    return tl(spark, d).select(c("t_idx").alias("k"), c("t_idx").alias("n"))
 
 
 # sources, duplicates and gates

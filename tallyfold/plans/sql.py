@@ -42,9 +42,13 @@ LABELS = "lab(token, shot_class, shot_group) AS (VALUES " + ", ".join(f"({i}, '{
 S = """s0 AS (
   SELECT 'm:' || l_orderkey // 20 AS match_uid, l_orderkey % 20 AS rally, CASE WHEN l_orderkey % 20 < 10 THEN 1 ELSE 2 END AS set_no,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS ball_round, count(*) OVER (PARTITION BY l_orderkey) AS n,
-    l_orderkey, l_partkey % 19 AS token, CASE WHEN l_discount <> 0 THEN l_suppkey % 2 END AS backhand, CASE WHEN l_tax <> 0 THEN l_linenumber % 2 END AS aroundhead, l_returnflag AS rf FROM lineitem),
+    l_orderkey, l_partkey % 19 AS token, CASE WHEN l_discount <> 0 THEN l_suppkey % 2 END AS backhand, CASE WHEN l_tax <> 0 THEN l_linenumber % 2 END AS aroundhead, l_returnflag AS rf,
+    l_partkey, l_suppkey, l_partkey + l_linenumber AS gap FROM lineitem),
 s AS (SELECT match_uid, set_no, rally, ball_round, CASE WHEN (ball_round + l_orderkey) % 2 = 0 THEN 'A' ELSE 'B' END AS player, token, backhand, aroundhead,
-    CASE WHEN ball_round = n THEN CASE rf WHEN 'A' THEN 'A' WHEN 'R' THEN 'B' END END AS getpoint_player FROM s0),
+    CASE WHEN ball_round = n THEN CASE rf WHEN 'A' THEN 'A' WHEN 'R' THEN 'B' END END AS getpoint_player, ball_round * 30 + l_partkey % 7 AS frame_num,
+    CASE WHEN gap % 3 <> 0 THEN (l_partkey % 170)::DOUBLE END AS player_location_x, CASE WHEN gap % 5 <> 0 THEN (l_suppkey % 300)::DOUBLE END AS player_location_y,
+    CASE WHEN gap % 4 <> 0 THEN (l_suppkey % 171)::DOUBLE END AS opponent_location_x, CASE WHEN gap % 6 <> 0 THEN (l_partkey % 301)::DOUBLE END AS opponent_location_y,
+    CASE WHEN gap % 7 <> 0 THEN (l_partkey % 172)::DOUBLE END AS landing_x, CASE WHEN gap % 9 <> 0 THEN (l_suppkey % 302)::DOUBLE END AS landing_y FROM s0),
 """ + LABELS + """,
 ls AS (SELECT s.*, shot_class, shot_group, shot_class IS NULL AS is_unknown FROM s LEFT JOIN lab USING (token)),
 r AS (SELECT match_uid, set_no, rally, count(*) AS len, arg_min(player, ball_round) AS server, arg_max(player, ball_round) AS last_player,

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyfold.operators import strokes
+from tallyfold.operators import gates, strokes
 from tallyfold.plans import records
 from tallyfold.plans.records import query, rnd, tl
 from tallyfold.plans.sql import COUNTS, S, T, r6
@@ -22,18 +22,20 @@ def player_counters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return strokes.player_counters(tl(spark, d), strokes.counters(s, r)), r
 
 
-@query(f"{T}, {S} SELECT match_uid, set_no::BIGINT AS set_no, rally, ball_round, token::BIGINT AS token, backhand::BIGINT AS backhand, CASE WHEN player = 'A' THEN 'W' ELSE 'L' END AS side FROM s")
+PLACES = "frame_num, player_location_x, player_location_y, opponent_location_x, opponent_location_y, landing_x, landing_y"
+
+
+@query(f"{T}, {records.SIDES}, {S} SELECT match_uid, set_no::BIGINT AS set_no, rally, ball_round, token::BIGINT AS token, backhand::BIGINT AS backhand, aroundhead::BIGINT AS aroundhead, {PLACES}, CASE WHEN (player = 'A') = (y = 1) THEN 'side0' ELSE 'side1' END AS side FROM s JOIN sides USING (match_uid)")
 def pre_outcome_view(spark, d):
-    """Strokes without what tells the outcome: an allow-list of columns."""
-    side = F.when(c("player") == "A", "W").otherwise("L")
-    return driver.strokes(spark, d).select("match_uid", c("set_no").cast("long").alias("set_no"), "rally", c("ball_round").cast("long").alias("ball_round"), c("token").cast("long").alias("token"), c("backhand").cast("long").alias("backhand"), side.alias("side"))
+    """Strokes without what tells the outcome; strikers are sides by the match's coin."""
+    view = strokes.pre_outcome(driver.strokes(spark, d), records.with_sides(tl(spark, d)))
+    return view.withColumns({n: c(n).cast("long") for n in ("set_no", "ball_round", "token", "backhand", "aroundhead")})
 
 
 @query(f"{T}, {S} SELECT s.match_uid, rally, ball_round, CASE player WHEN 'A' THEN winner ELSE loser END AS player, CASE getpoint_player WHEN 'A' THEN winner WHEN 'B' THEN loser END AS getpoint_player FROM s JOIN t USING (match_uid)")
 def historical_view(spark, d):
-    named = lambda col: F.when(c(col) == "A", c("winner")).when(c(col) == "B", c("loser"))
-    m = driver.matches(spark, d).select("match_uid", "winner", "loser")
-    return driver.strokes(spark, d).join(m, "match_uid").select("match_uid", "rally", c("ball_round").cast("long").alias("ball_round"), named("player").alias("player"), named("getpoint_player").alias("getpoint_player"))
+    view = strokes.historical(driver.strokes(spark, d), driver.matches(spark, d))
+    return view.select("match_uid", "rally", c("ball_round").cast("long").alias("ball_round"), "player", "getpoint_player")
 
 
 @query(f"{S} SELECT shot_class, shot_group, is_unknown, count(*) AS n FROM ls GROUP BY ALL")
@@ -132,7 +134,7 @@ def tactical_features(spark, d):
 @query(f"{T}, {COUNTS}{TACTICAL}, " + records.FEATS.removeprefix(T + ", ") + f" SELECT s.match_uid, {r6('elo_diff')} AS elo_diff, {r6('a.attack_share - b.attack_share')} AS attack_share_diff FROM sides s JOIN feats USING (match_uid) JOIN tr a ON a.match_uid = s.match_uid AND a.player = side0 JOIN tr b ON b.match_uid = s.match_uid AND b.player = side1", recursive=True)
 def feature_merge(spark, d):
     """Records and tactical features, one to one by match."""
-    return records.match_feature_rows(tl(spark, d)).join(tactical_rows(spark, d), "match_uid").select("match_uid", rnd(c("elo_diff")).alias("elo_diff"), rnd(c("attack_share_diff")).alias("attack_share_diff"))
+    return gates.one_to_one(records.match_feature_rows(tl(spark, d)), tactical_rows(spark, d), "match_uid").select("match_uid", rnd(c("elo_diff")).alias("elo_diff"), rnd(c("attack_share_diff")).alias("attack_share_diff"))
 
 
 @query(f"{S} SELECT match_uid, rally, ball_round, dense_rank() OVER (PARTITION BY match_uid ORDER BY set_no, rally) - 1 AS rally_idx, row_number() OVER (PARTITION BY match_uid, set_no, rally ORDER BY ball_round) - 1 AS shot_idx FROM s")
@@ -142,22 +144,31 @@ def events_flat(spark, d):
 
 
 def event_documents(spark: SparkSession, d: str) -> DataFrame:
-    """One nested document a match: rallies of shots."""
-    s = strokes.labelled(driver.strokes(spark, d))
-    shot = F.struct((c("ball_round") - 1).alias("shot_idx"), F.when(c("player") == "A", "side0").otherwise("side1").alias("striker"), "shot_class", c("backhand").cast("boolean").alias("backhand"), c("aroundhead").cast("boolean").alias("around_head"))
-    per = s.groupBy("match_uid", "set_no", "rally").agg(F.array_sort(F.collect_list(shot)).alias("shots"))
-    docs = per.groupBy("match_uid").agg(F.array_sort(F.collect_list(F.struct("set_no", "rally", "shots"))).alias("r"))
-    rows = F.transform("r", lambda x, i: F.struct(i.alias("rally_idx"), x["shots"].alias("shots")))
-    return docs.select(F.lit("1.0").alias("schema_version"), "match_uid", rows.alias("rallies"))
+    return strokes.event_documents(strokes.labelled(driver.strokes(spark, d)), records.with_sides(tl(spark, d)), "shot_labels_v1")
+
+
+EVENTS = f"""{T}, {records.SIDES}, {S} SELECT match_uid, date, discipline, side0 AS side0_player, side1 AS side1_player, CASE y WHEN 1 THEN 'side0' ELSE 'side1' END AS winner_side,
+  dense_rank() OVER (PARTITION BY match_uid ORDER BY set_no, rally) - 1 AS rally_idx, row_number() OVER (PARTITION BY match_uid, set_no, rally ORDER BY ball_round) - 1 AS shot_idx, frame_num AS frame_hit,
+  CASE WHEN (player = 'A') = (y = 1) THEN 'side0' ELSE 'side1' END AS striker, shot_class, 'shot_labels_v1' AS shot_class_version, aroundhead = 1 AS around_head, backhand = 1 AS backhand, 'human_annotation' AS source,
+  {", ".join(f"CASE WHEN {p}_x IS NOT NULL AND {p}_y IS NOT NULL THEN {p}_{k} END AS {n}_{k}" for p, n in (("player_location", "striker"), ("opponent_location", "receiver"), ("landing", "landing")) for k in ("x", "y"))}
+  FROM ls JOIN sides USING (match_uid)"""
+
+
+def _flat(documents: DataFrame) -> DataFrame:
+    rows = strokes.shots_of(documents)
+    for n in ("striker", "receiver", "landing"):
+        rows = rows.withColumn(f"{n}_x", c(f"{n}_xy")[0]).withColumn(f"{n}_y", c(f"{n}_xy")[1]).drop(f"{n}_xy")
+    return rows.withColumns({n: c(n).cast("long") for n in ("rally_idx", "shot_idx")})
 
 
-@query()
+@query(EVENTS)
 def events_nested(spark, d):
-    return event_documents(spark, d)
+    """The nested documents, read out shot by shot."""
+    return _flat(event_documents(spark, d))
 
 
-@query(f"{S} SELECT match_uid, count(*) AS n_shots, count(DISTINCT rally) AS n_rallies FROM s GROUP BY 1")
+@query(EVENTS)
 def events_json_roundtrip(spark, d):
+    """The same after a round trip through JSON texts."""
     docs = event_documents(spark, d)
-    back = docs.select(F.from_json(F.to_json(F.struct(*docs.columns)), docs.schema).alias("e")).select("e.*")
-    return back.select("match_uid", F.aggregate("rallies", F.lit(0).cast("long"), lambda a, r: a + F.size(r["shots"])).alias("n_shots"), F.size("rallies").cast("long").alias("n_rallies"))
+    return _flat(docs.select(F.from_json(F.to_json(F.struct(*docs.columns)), docs.schema).alias("e")).select("e.*"))

@@ -29,8 +29,11 @@ def strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     li = li.withColumn("ball_round", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey")))
     point = F.when(c("ball_round") == c("n"), F.when(c("l_returnflag") == "A", "A").when(c("l_returnflag") == "R", "B"))
+    place = lambda x, gap: F.when((c("l_partkey") + c("l_linenumber")) % gap != 0, x.cast("double"))
     return li.select(
         F.concat(F.lit("m:"), ((c("l_orderkey") - c("l_orderkey") % 20) / 20).cast("long").cast("string")).alias("match_uid"), F.when(c("l_orderkey") % 20 < 10, 1).otherwise(2).alias("set_no"), (c("l_orderkey") % 20).alias("rally"), "ball_round",
         F.when((c("ball_round") + c("l_orderkey")) % 2 == 0, "A").otherwise("B").alias("player"), (c("l_partkey") % 19).cast("int").alias("token"),
         F.when(c("l_discount") != 0, (c("l_suppkey") % 2).cast("int")).alias("backhand"), F.when(c("l_tax") != 0, (c("l_linenumber") % 2).cast("int")).alias("aroundhead"), point.alias("getpoint_player"),
+        (c("ball_round") * 30 + c("l_partkey") % 7).cast("long").alias("frame_num"), place(c("l_partkey") % 170, 3).alias("player_location_x"), place(c("l_suppkey") % 300, 5).alias("player_location_y"),
+        place(c("l_suppkey") % 171, 4).alias("opponent_location_x"), place(c("l_partkey") % 301, 6).alias("opponent_location_y"), place(c("l_partkey") % 172, 7).alias("landing_x"), place(c("l_suppkey") % 302, 9).alias("landing_y"),
     )

@@ -20,7 +20,7 @@ STROKE_CSV = [
     "rally", "ball_round", "time", "frame_num", "roundscore_A", "roundscore_B", "player", "server", "type", "aroundhead", "backhand", "hit_height", "hit_area", "hit_x", "hit_y", "landing_height", "landing_area",
     "landing_x", "landing_y", "lose_reason", "win_reason", "getpoint_player", "flaw", "player_location_area", "player_location_x", "player_location_y", "opponent_location_area", "opponent_location_x", "opponent_location_y", "db",
 ]
-FILE_NAME = r"^(\d{4})-(\d{2})-\d(R32|R16|QF|SF|F)-MS-([^-]+)-([^-]+)-(.+)-1080p(-50fps)?\.json$"
+FILE_NAME = r"^(\d{4})-(\d{2})-\d(R32|R16|QF|SF|F)-MS-([^-]+)-([^-]+)-([^-]+)-1080p(-50fps)?\.json$"
 POINT = "map<string,struct<PointInfo:map<string,struct<Score:int,Point:int>>>>"
 MATCH = ["match_uid", "source", "video", "date", "date_precision", "tournament", "round_name", "winner", "loser", "n_sets", "duration_min"]
 c = F.col
