@@ -5,13 +5,15 @@ Each reader gives rows with a `reason` (null: fine) for gates.split or gates.str
 
 import json
 import os
+import shutil
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tallyfold.errors import ConfigError, ContractError, LabelError
-from tallyfold.functions import rulebook
+from tallyfold.errors import ContractError, LabelError
+from tallyfold.functions import config, rulebook
 from tallyfold.operators import gates
 
 # The column contracts of the archives.
@@ -65,11 +67,16 @@ def read_strokes(spark: SparkSession, set_dir: str, matches: DataFrame) -> DataF
     number = F.regexp_extract("file_path", r"set(\d+)\.csv$", 1)
     rows = raw.withColumn("video", folder_name(c("file_path"))).withColumn("set_no", number.try_cast("int"))
     known = matches.select(c("video").alias("__video"), "match_uid", "source", "n_sets")
-    rows = rows.join(F.broadcast(known), c("video") == c("__video"), "left")
+    rows = rows.join(known, c("video") == c("__video"), "left")
     rules = [(c("match_uid").isNull(), "no match for folder"), (c("set_no").isNull() | (c("set_no") > c("n_sets")), "unexpected set file"), (c("rally").try_cast("double").isNull() | c("ball_round").try_cast("double").isNull(), "no rally or stroke number")]
     return rows.withColumn("reason", gates.first_reason(rules)).drop("file_path", "__video", "n_sets")
 
 
+def missing_folders(set_dir: str, matches: DataFrame) -> list[str]:
+    """Videos of matches (a match table is small) that have no folder below set_dir."""
+    return sorted(r.video for r in matches.select("video").distinct().collect() if not os.path.isdir(os.path.join(set_dir, r.video)))
+
+
 def set_count_violations(strokes: DataFrame, matches: DataFrame) -> DataFrame:
     """Matches whose set files aren't exactly 1..n_sets."""
     got = strokes.groupBy("match_uid").agg(F.array_sort(F.collect_set("set_no")).alias("sets"))
@@ -98,6 +105,17 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def read_label_map(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """The label dimension of a YAML or JSON file and its version: classes, each with `group` and its raw tokens in `zh`, and unknown_tokens."""
+    with open(path, encoding="utf-8") as f:
+        got = config.read_mapping(f.read(), path)
+    try:
+        classes = [(name, x["group"], list(x["zh"])) for name, x in got["classes"].items()]
+        return load_label_map(spark, classes, list(got["unknown_tokens"])), str(got["version"])
+    except (KeyError, TypeError, AttributeError) as e:
+        raise LabelError(f"{path} isn't a label map: {e}") from None
+
+
 def load_label_map(spark: SparkSession, classes: list[tuple[str, str, list[str]]], unknown: list[str]) -> DataFrame:
     """The label dimension from (class, group, tokens); a token given twice raises."""
     tokens = [t for _, _, ts in classes for t in ts] + unknown
@@ -148,26 +166,52 @@ def audit_tree(root: str, expected: dict[str, int]) -> list[str]:
     return problems
 
 
-def load_config(path: str, required: tuple[str, ...]) -> dict:
-    """A JSON or YAML configuration with the keys it must have."""
-    with open(path) as f:
-        text = f.read()
-    try:
-        got = json.loads(text)
-    except ValueError:
-        import yaml
-
-        got = yaml.safe_load(text)
-    if not isinstance(got, dict) or (lacking := [k for k in required if k not in got]):
-        raise ConfigError(f"{path} lacks {lacking if isinstance(got, dict) else 'a mapping'}")
-    return got
+def write_run(log: DataFrame, folder: str, manifest: dict, report: dict | None = None) -> None:
+    """A run's prediction log as Parquet, and its manifest and report as JSON beside it; a folder that holds a run raises."""
+    log.write.mode("errorifexists").parquet(f"{folder}/predictions.parquet")
+    for name, content in (("manifest", manifest), ("report", report)):
+        if content is not None:
+            with open(f"{folder}/{name}.json", "w", encoding="utf-8") as f:
+                json.dump(content, f, indent=2, sort_keys=True, default=str)
 
 
-def write_run(log: DataFrame, folder: str, manifest: dict) -> None:
-    """A run's prediction log as Parquet, and its manifest beside it."""
-    log.write.mode("errorifexists").parquet(f"{folder}/predictions.parquet")
-    with open(f"{folder}/manifest.json", "w") as f:
-        json.dump(manifest, f, indent=2, sort_keys=True, default=str)
+def read_run(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
+    """A stored run's log and manifest."""
+    try:
+        with open(f"{folder}/manifest.json", encoding="utf-8") as f:
+            manifest = json.load(f)
+    except (OSError, ValueError) as e:
+        raise ContractError(f"no run in {folder}: {e}") from None
+    return spark.read.parquet(f"{folder}/predictions.parquet"), manifest
+
+
+def unpack(archives: dict[str, str], root: str) -> list[str]:
+    """Extracts each ZIP file into its folder below root, unless that is there, and takes the right to write from the whole tree.
+
+    A member that would lie outside its folder raises; a folder appears only when its archive is whole.
+    """
+    os.makedirs(root, exist_ok=True)
+    os.chmod(root, os.stat(root).st_mode | 0o200)
+    done = []
+    for archive, name in archives.items():
+        target, part = os.path.join(root, name), os.path.join(root, f".{name}.part")
+        if os.path.isdir(target):
+            continue
+        shutil.rmtree(part, ignore_errors=True)
+        try:
+            with zipfile.ZipFile(archive) as z:
+                for member in z.namelist():
+                    if not os.path.realpath(os.path.join(part, member)).startswith(os.path.realpath(part) + os.sep):
+                        raise ContractError(f"{archive} holds {member}, which lies outside")
+                z.extractall(part)
+        except (OSError, zipfile.BadZipFile) as e:
+            raise ContractError(f"{archive} can't be unpacked: {e}") from None
+        os.rename(part, target)
+        done.append(target)
+    for d, _, names in os.walk(root, topdown=False):
+        for x in [*(os.path.join(d, n) for n in names), d]:
+            os.chmod(x, os.stat(x).st_mode & ~0o222)
+    return done
 
 
 def latest_run(root: str) -> str:
