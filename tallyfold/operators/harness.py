@@ -47,14 +47,6 @@ def sided(timeline: DataFrame, seed: int, coin: Callable[[Column], Column] = rul
     return tossed.withColumn("side0", F.when(first, c("winner")).otherwise(c("loser"))).withColumn("side1", F.when(first, c("loser")).otherwise(c("winner")))
 
 
-def by_side(rows: DataFrame, own: DataFrame, columns: list[str]) -> DataFrame:
-    """rows with the columns of each match's two players (match_uid, player) as <column>0 and <column>1, in one grouping."""
-    held = own.join(rows.select("match_uid", "side0"), "match_uid")
-    mine = lambda k: (c("player") == c("side0")) if k == 0 else (c("player") != c("side0"))
-    both = held.groupBy("match_uid").agg(*[F.max(F.when(mine(k), c(n))).alias(f"{n}{k}") for n in columns for k in (0, 1)])
-    return rows.join(both, "match_uid")
-
-
 class CoinFlip:
     name = "coinflip"
 
@@ -78,7 +70,7 @@ class Log5Predictor:
     def predict(self, walk: Walk) -> DataFrame:
         p = walk.config.log5
         h = players.with_history(players.player_long(walk.rows), p.half_life_days, p.prior_wins, p.prior_games).select("match_uid", "player", "rate")
-        return by_side(walk.rows.select("match_uid", "side0"), h, ["rate"]).select("match_uid", ratings.log5(c("rate0"), c("rate1")).alias("p"))
+        return players.by_side(walk.rows.select("match_uid", "side0"), h, ["rate"]).select("match_uid", ratings.log5(c("rate0"), c("rate1")).alias("p"))
 
 
 #: Predictors by name; register() adds to them.
@@ -111,7 +103,7 @@ def walk_forward(timeline: DataFrame, predictors: Sequence[Predictor], config: H
         raise ContractError(f"the timeline isn't one order from 0: {bad}")
     rows = sided(timeline, config.seed, coin)
     prior = players.player_long(timeline).withColumn("n_prior", (F.row_number().over(players.by_player()) - 1).cast("long"))
-    about = by_side(rows, prior.select("match_uid", "player", "n_prior"), ["n_prior"])
+    about = players.by_side(rows, prior.select("match_uid", "player", "n_prior"), ["n_prior"])
     about = about.select("match_uid", "t_idx", "date", "discipline", "side0", "side1", "y", c("n_prior0").alias("n_prior_side0"), c("n_prior1").alias("n_prior_side1"))
     walk, out = Walk(rows, config, features), None
     for p in predictors:

@@ -57,3 +57,11 @@ def head_to_head(timeline: DataFrame) -> DataFrame:
     w = Window.partitionBy("p_lo", "p_hi").orderBy("t_idx").rowsBetween(Window.unboundedPreceding, -1)
     rows = timeline.select("match_uid", "t_idx", "winner", lo.alias("p_lo"), hi.alias("p_hi"))
     return rows.withColumn("h2h_lo", F.coalesce(F.sum(F.when(F.col("winner") == F.col("p_lo"), 1).otherwise(-1)).over(w), F.lit(0)))
+
+
+def by_side(rows: DataFrame, own: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with the columns of each match's two players (match_uid, player) as <column>0 and <column>1, in one grouping."""
+    held = own.join(rows.select("match_uid", "side0"), "match_uid")
+    mine = lambda k: (F.col("player") == F.col("side0")) if k == 0 else (F.col("player") != F.col("side0"))
+    both = held.groupBy("match_uid").agg(*[F.max(F.when(mine(k), F.col(n))).alias(f"{n}{k}") for n in columns for k in (0, 1)])
+    return rows.join(both, "match_uid")

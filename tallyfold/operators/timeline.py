@@ -45,7 +45,7 @@ def near_misses(matches: DataFrame, days: int = 3) -> DataFrame:
 
 def components(edges: DataFrame, a: str = "winner", b: str = "loser", rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node reachable; labels spread to neighbours and jump to their label's label."""
-    both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).union(edges.select(F.col(b).alias("a"), F.col(a).alias("b"))).distinct().persist()
+    both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).union(edges.select(F.col(b).alias("a"), F.col(a).alias("b"))).distinct().checkpoint()
     labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label"))
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))

@@ -3,10 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyfold.operators import gates, strokes
+from tallyfold.operators import gates, players, strokes
 from tallyfold.plans import records
 from tallyfold.plans.records import query, rnd, tl
 from tallyfold.plans.sql import COUNTS, S, T, r6
+from tallyfold.session import written
 from tallyfold.sources import driver
 
 c = F.col
@@ -104,7 +105,10 @@ TACTICAL = PRIOR + HISTORY + MEDIAN + ", tr AS (SELECT hs.match_uid, hs.player,
 
 
 def rates(spark: SparkSession, d: str) -> DataFrame:
-    pc, r = player_counters(spark, d)
+    """Counters and rallies are read three times, so they are made once and written."""
+    s, r = parts(spark, d)
+    r = written(spark, r)
+    pc = written(spark, strokes.player_counters(tl(spark, d), strokes.counters(s, r)))
     return strokes.tactical_rates(strokes.decayed_history(pc), strokes.pooled_priors(pc), strokes.weighted_medians(pc, r))
 
 
@@ -115,10 +119,8 @@ def tactical_rates(spark, d):
 
 def tactical_rows(spark: SparkSession, d: str) -> DataFrame:
     """Differences of the 13 features, side 0 less side 1."""
-    r = rates(spark, d)
-    s = records.with_sides(tl(spark, d)).select("match_uid", "side0", "side1")
-    for k in (0, 1):
-        s = s.join(r.select("match_uid", c("player").alias(f"side{k}"), *[c(x).alias(f"{x}{k}") for x in strokes.FEATURES]), ["match_uid", f"side{k}"])
+    s = records.with_sides(tl(spark, d)).select("match_uid", "side0")
+    s = players.by_side(s, rates(spark, d), strokes.FEATURES)
     return s.select("match_uid", *[(c(f"{x}0") - c(f"{x}1")).alias(f"{x}_diff") for x in strokes.FEATURES])
 
 
