@@ -7,6 +7,7 @@ import os
 import re
 import tempfile
 import uuid
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -231,3 +232,9 @@ class WordBpe:
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]
+
+
+@lru_cache(maxsize=1)
+def word_bpe(path: str) -> WordBpe:
+    """The process's own encoder: a worker's tasks share the pieces it has learned, whose number is bounded."""
+    return WordBpe(path)

@@ -35,7 +35,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     """Pieces of at most `capacity` ids; only longer documents are cut."""
 
     def run(batches):
-        bpe = common.WordBpe(path)
+        bpe = common.word_bpe(path)
         for batch in batches:
             rows = []
             for doc, ids in zip(batch.doc_id, bpe.encode_many(list(batch.text)), strict=True):

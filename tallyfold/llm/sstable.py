@@ -235,7 +235,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
     width = id_width(tokenizer)
 
     def write(batches):
-        bpe, writer, shard, dtype = common.WordBpe(tokenizer), None, 0, f"<u{width}"
+        bpe, writer, shard, dtype = common.word_bpe(tokenizer), None, 0, f"<u{width}"
 
         def done():
             writer.close()
