@@ -6,7 +6,10 @@ distances by cached Cholesky factors.
 
 Defined cases: null and empty texts have the statistics of an empty text and are
 scored like others; without labelled rows of both classes each score is the base rate
-(0.5 without rows); repeated rows are scored each.
+(0.5 without rows); repeated rows are scored each, and equal texts alike; label rows
+without id, or whose label is neither 0 nor 1, are not used; rows without doc_id are left
+out; texts of any length are read whole; an empty table gives no rows; other columns are
+not read.
 """
 
 from collections.abc import Iterator

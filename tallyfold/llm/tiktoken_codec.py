@@ -6,7 +6,8 @@ Pieces that still hold very long runs are matched by the regex library and each
 is encoded by itself. Decoding gives raw bytes.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows
-are encoded each.
+are encoded each, equal texts alike; rows without doc_id are left out; texts of any
+length are encoded whole; an empty table gives no rows; other columns are not read.
 """
 
 import base64
