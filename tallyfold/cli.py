@@ -73,7 +73,7 @@ def timeline_of(spark: SparkSession, data: str) -> DataFrame:
 
     if (Path(data) / "orders.parquet").exists():
         return records.tl(spark, data)
-    return archive.global_timeline(spark, archive.Layout(data))
+    return archive.global_timeline(spark, archive.read_layout(data))
 
 
 def _show(df: DataFrame, args: argparse.Namespace) -> None:

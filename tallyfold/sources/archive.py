@@ -6,8 +6,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.errors import ContractError
-from tallyfold.functions import rulebook
+from tallyfold.errors import ConfigError, ContractError
+from tallyfold.functions import config, rulebook
 from tallyfold.operators import gates, timeline
 from tallyfold.session import written
 from tallyfold.sources import files
@@ -17,21 +17,41 @@ c = F.col
 
 @dataclass(frozen=True)
 class Layout:
-    """Where the archives lie below one folder, and which source wins where two hold a match."""
+    """Where the archives lie below one folder; earlier sources win where two hold a match."""
 
     root: str
     #: (source, prefix of match ids, folder that holds match.csv and one folder of strokes a match)
-    tables: tuple[tuple[str, str, str], ...] = (("shuttleset", "ss", "raw/shuttleset/ShuttleSet/set"), ("shuttleset22", "ss22", "raw/shuttleset22/CoachAI-Challenge-IJCAI2023/ShuttleSet22/set"))
-    points: tuple[str, str, str] | None = ("badminton_db", "bdb", "raw/badminton_db/badminton-db/json")
-    aliases: str = "curated/player_aliases.csv"
-    overrides: str = "curated/match_date_overrides.csv"
-    priorities: tuple[str, ...] = ("shuttleset", "shuttleset22", "badminton_db")
-    #: One player of each component of the opponent graph, whose discipline is known.
-    seeds: tuple[tuple[str, str], ...] = (("Kento MOMOTA", "MS"), ("An Se Young", "WS"), ("Michelle LI", "WS"))
+    tables: tuple[tuple[str, str, str], ...] = (("sets", "ss", "raw/sets"), ("sets22", "ss22", "raw/sets22"))
+    #: The same of the folder of point files, or None.
+    points: tuple[str, str, str] | None = ("points", "pts", "raw/points")
+    aliases: str = "curated/aliases.csv"
+    overrides: str = "curated/overrides.csv"
+    #: One player of each component of the opponent graph, with the discipline.
+    seeds: tuple[tuple[str, str], ...] = ()
 
     def at(self, path: str) -> str:
         return os.path.join(self.root, path)
 
+    @property
+    def priorities(self) -> list[str]:
+        return [t[0] for t in self.tables] + ([self.points[0]] if self.points else [])
+
+
+def read_layout(root: str) -> Layout:
+    """The layout that layout.yaml (or JSON in it) in the folder describes; without the file, the usual one."""
+    path = os.path.join(root, "layout.yaml")
+    if not os.path.exists(path):
+        return Layout(root)
+    with open(path, encoding="utf-8") as f:
+        got = config.read_mapping(f.read(), path)
+    try:
+        rows = {k: tuple(tuple(map(str, x)) for x in got[k]) for k in ("tables", "seeds") if k in got}
+        if "points" in got:
+            rows["points"] = tuple(map(str, got["points"])) if got["points"] else None
+        return Layout(root, **{k: v for k, v in got.items() if k not in ("tables", "seeds", "points")}, **rows)
+    except TypeError as e:
+        raise ConfigError(f"{path} isn't a layout: {e}") from None
+
 
 def matches(spark: SparkSession, layout: Layout) -> DataFrame:
     """The match contract of all sources; a row that breaks it, and a match without its folder, raise."""

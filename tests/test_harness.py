@@ -188,10 +188,12 @@ def test_runs_are_stored_and_reported(spark, tl, tmp_path, capsys):
 
 def make_archives(root):
     """Two match tables and a point file below root; the second table repeats a match of the first."""
-    layout = archive.Layout(str(root), seeds=(("Ann", "MS"), ("Uma", "WS")))
+    (root / "layout.yaml").write_text(yaml.safe_dump({"points": ["points", "bdb", "raw/points"], "seeds": [["Ann", "MS"], ["Uma", "WS"]]}))
+    layout = archive.read_layout(str(root))
+    assert layout == archive.Layout(str(root), points=("points", "bdb", "raw/points"), seeds=(("Ann", "MS"), ("Uma", "WS")))
     rows = {
-        "shuttleset": [["1", "v1", "Open", "Finals", "2021", "3", "4", "2", "45", "Ann", "Bob", "", ""], ["2", "v2", "Open", "QF", "2021", "3", "2", "2", "40", "Uma", "Vera", "", ""]],
-        "shuttleset22": [["7", "w1", "Open", "Finals", "2021", "3", "4", "2", "45", "Ann", "Bobby", "", ""], ["8", "w2", "Cup", "SF", "2022", "1", "2", "2", "33", "Bob", "Cee", "", ""]],
+        "sets": [["1", "v1", "Open", "Finals", "2021", "3", "4", "2", "45", "Ann", "Bob", "", ""], ["2", "v2", "Open", "QF", "2021", "3", "2", "2", "40", "Uma", "Vera", "", ""]],
+        "sets22": [["7", "w1", "Open", "Finals", "2021", "3", "4", "2", "45", "Ann", "Bobby", "", ""], ["8", "w2", "Cup", "SF", "2022", "1", "2", "2", "33", "Bob", "Cee", "", ""]],
     }
     for source, _, folder in layout.tables:
         at = root / folder
@@ -207,8 +209,8 @@ def make_archives(root):
     point = {"T1P1": {"Score": 1, "Point": 20}, "T2P1": {"Score": 0, "Point": 15}}
     (at / "2019-20-1QF-MS-Cee-Ann-Cup-1080p.json").write_text(json.dumps({"Point1": {"PointInfo": point}}))
     (root / "curated").mkdir()
-    (root / "curated/player_aliases.csv").write_text("alias,canonical,source_note\nBobby,Bob,x\n")
-    (root / "curated/match_date_overrides.csv").write_text("match_uid,date,winner,week_mismatch_ok,provenance_url,note\n")
+    (root / "curated/aliases.csv").write_text("alias,canonical,source_note\nBobby,Bob,x\n")
+    (root / "curated/overrides.csv").write_text("match_uid,date,winner,week_mismatch_ok,provenance_url,note\n")
     return layout
 
 
