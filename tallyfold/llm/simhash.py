@@ -15,15 +15,19 @@ formed.
 
 `near_duplicates` links by the one fingerprint of 4-word shingles. `near_copies` is made
 for copies of five-word similarity 0.8 and more, which differ in too many bits of one
-such fingerprint: three fingerprints of a text's distinct words propose pairs, and a
-wide one of its distinct five-word shingles (1,024 bits) verifies them by Hamming distance.
+such fingerprint: three fingerprints of a text's distinct words propose pairs, a wide one of
+its distinct five-word shingles (1,024 bits) leaves out those that are clearly too far
+apart, and the exact similarity of the two sets of shingles decides on the others.
 
 Defined cases: a null text is empty and has fingerprint zero, which links like any
 other; rows without doc_id are left out; repeated rows give repeated result rows, and a
 group's id is its smallest doc_id, so ties can't occur; an empty table gives no rows;
-texts of any length are read whole, in slices of bounded memory; other columns are not read.
+texts of any length are read whole, in slices of bounded memory; other columns are not
+read. A text of fewer than five words is one shingle. Texts with equal fingerprints and
+equal wide ones (1,216 bits) are one node. Different texts under one doc_id are one node's.
 """
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import combinations
@@ -44,8 +48,14 @@ LEAST_BLOCKS = 7
 CENTRES = (0, -1, 0x5555555555555555)
 #: Fingerprints of distinct words, longs of the wide fingerprint, words of its shingles.
 PROPOSING, WIDE, WIDE_SHINGLE = 3, 16, 5
-#: Bits of the wide fingerprint in which texts of similarity 0.8 differ on average (the angle of cosine 2 * 0.8 / 1.8), and half a standard deviation.
-WIDE_BITS = round(64 * WIDE * float(np.arccos(1.6 / 1.8)) / np.pi) + 5
+#: Least similarity of the sets of five-word shingles.
+LEAST = 0.8
+
+
+def wide_bits(least: float = LEAST, spare: float = 2.5) -> int:
+    """Bits of the wide fingerprint in which texts of this similarity differ on average (by the angle of their sets), and `spare` standard deviations."""
+    p = float(np.arccos(2 * least / (1 + least))) / np.pi
+    return round(64 * WIDE * p + spare * (64 * WIDE * p * (1 - p)) ** 0.5)
 
 
 def even_blocks(n: int) -> list[tuple[int, int]]:
@@ -116,18 +126,28 @@ class Signatures:
         words = text.encode("utf-8", "replace").lower().split()
         if not words:
             return np.zeros(PROPOSING + WIDE, dtype=np.int64)
+        h = self.hashes(words)
+        parts = [self._fold(np.unique(h), _ODD[:PROPOSING]), self._fold(self.shingles(h), _ODD[PROPOSING:])]
+        return np.concatenate(parts).view(np.int64)
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
         if len(self.cache) > self.most:
             self.cache.clear()
         for w in set(words).difference(self.cache):
             self.cache[w] = xxhash.xxh64_intdigest(w, 42)
-        h = np.fromiter(map(self.cache.__getitem__, words), dtype=np.uint64, count=len(words))
-        k = min(WIDE_SHINGLE, len(words))
-        s = np.zeros(len(words) - k + 1, dtype=np.uint64)
+        return np.fromiter(map(self.cache.__getitem__, words), dtype=np.uint64, count=len(words))
+
+    @staticmethod
+    def shingles(h: np.ndarray) -> np.ndarray:
+        """Distinct hashes of the five-word shingles of words with the hashes h; of fewer words, of all of them."""
+        if not len(h):
+            return h
+        k = min(WIDE_SHINGLE, len(h))
+        s = np.zeros(len(h) - k + 1, dtype=np.uint64)
         for i in range(k):
             s = (s ^ h[i : len(h) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
             s ^= s >> np.uint64(29)
-        parts = [self._fold(np.unique(h), _ODD[:PROPOSING]), self._fold(np.unique(s), _ODD[PROPOSING:])]
-        return np.concatenate(parts).view(np.int64)
+        return np.unique(s)
 
     @staticmethod
     def _fold(h: np.ndarray, odd: np.ndarray, step: int = 1 << 16) -> np.ndarray:
@@ -139,12 +159,16 @@ class Signatures:
 
 @dataclass(frozen=True)
 class Rule:
-    """Nodes link if one of the fingerprints `prints` is at most `distance` bits apart, and the `wide` ones together at most `most`."""
+    """Nodes link if one of the fingerprints `prints` is at most `distance` bits apart, the `wide` ones together at most `most`, and the check holds.
+
+    The check takes a function that saves a table until the search ends, and pairs (x_node, y_node and more); it gives the pairs that hold.
+    """
 
     prints: tuple[str, ...]
     distance: int = DISTANCE
     wide: tuple[str, ...] = field(default=())
     most: int = 0
+    check: Callable[[Callable, DataFrame], DataFrame] | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -213,7 +237,15 @@ class _Search:
         some = common.maybe_among(self.nodes, ["node"], pairs.select(F.explode(F.array("node", "c")).alias("node"))).where("__maybe").drop("__maybe")
         left, right = _prefixed(some, "x_"), _prefixed(some, "y_")
         both = pairs.join(left, F.col("node") == F.col("x_node")).join(right, F.col("c") == F.col("y_node"))
-        return both.where((F.col("x_label") != F.col("y_label")) & self.rule.near("x_", "y_")).select(F.col("x_label").alias("a"), F.col("y_label").alias("b")).distinct()
+        return self.linked(both.where((F.col("x_label") != F.col("y_label")) & self.rule.near("x_", "y_")))
+
+    def linked(self, near: DataFrame) -> DataFrame:
+        """Labels (a, b) of the near pairs for which the rule's check holds."""
+        labels = [F.col("x_label").alias("a"), F.col("y_label").alias("b")]
+        if self.rule.check is None:
+            return near.select(*labels).distinct()
+        pairs = self.saved(near.select("x_node", "y_node", *labels).distinct(), "near")
+        return pairs.select("a", "b") if pairs.isEmpty() else self.rule.check(self.saved, pairs).select("a", "b").distinct()
 
     def relabel(self, edges: DataFrame) -> None:
         merged = connected(edges).select(F.col("node").alias("old"), F.col("label").alias("new"))
@@ -242,7 +274,7 @@ class _Search:
         open_ = members.join(mixed, F.col("k") == F.col("mixed")).drop("mixed")
         left, right = _prefixed(open_.where("label > low"), "x_"), _prefixed(open_, "y_")
         pairs = left.join(right, (F.col("x_k") == F.col("y_k")) & (F.col("y_label") < F.col("x_label")) & self.rule.near("x_", "y_"))
-        self.relabel(pairs.select(F.col("x_label").alias("a"), F.col("y_label").alias("b")).distinct())
+        self.relabel(self.linked(pairs))
 
 
 def component_table(spark: SparkSession, nodes: DataFrame, rule: Rule, blocks: int | None = None) -> DataFrame:
@@ -288,21 +320,45 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, distance: int = DISTAN
     return _grouped(spark, prints, Rule(("fp",), distance)).select("doc_id", "fp", "component_id")
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, most: int = WIDE_BITS, distance: int = DISTANCE) -> DataFrame:
+def similar(texts: DataFrame, least: float = LEAST) -> Callable[[Callable, DataFrame], DataFrame]:
+    """A rule's check: the pairs whose texts have at least this similarity of their sets of five-word shingles.
+
+    Only texts that a bitmap shows to be in a pair are read into sets, and only sets are shuffled. Shingles are compared by 64-bit hashes.
+    """
+
+    def run(batches):
+        make = Signatures()
+        for batch in batches:
+            sets = [make.shingles(make.hashes(t.encode("utf-8", "replace").lower().split())).view(np.int64) for t in batch.text]
+            yield pd.DataFrame({"node": batch.doc_id, "shingles": sets})
+
+    def check(saved: Callable, pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("x_node", "y_node")).alias("doc_id"))
+        some = common.maybe_among(texts.select("doc_id", "text"), ["doc_id"], ends).where("__maybe").select("doc_id", "text")
+        sets = saved(some.mapInPandas(run, "node long, shingles array<long>"), "shingles")
+        held = pairs.join(_prefixed(sets, "x_"), "x_node").join(_prefixed(sets, "y_"), "y_node")
+        both, sizes = F.size(F.array_intersect("x_shingles", "y_shingles")), F.size("x_shingles") + F.size("y_shingles")
+        return held.withColumn("both", both).where(F.col("both") >= least * (sizes - F.col("both")))
+
+    return check
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, least: float = LEAST, distance: int = DISTANCE) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text, to tell rows with one doc_id apart), component_id (smallest doc_id reachable)."""
     common.prepare(spark)
-    rule = Rule(tuple(f"f{i}" for i in range(PROPOSING)), distance, tuple(f"w{i}" for i in range(WIDE)), most)
+    texts = common.keyed_texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    rule = Rule(tuple(f"f{i}" for i in range(PROPOSING)), distance, tuple(f"w{i}" for i in range(WIDE)), wide_bits(least), similar(texts, least))
+    columns = rule.columns
 
     def run(batches):
         make = Signatures()
         for batch in batches:
-            out = pd.DataFrame(np.array([make(t) for t in batch.text], dtype=np.int64).reshape(-1, PROPOSING + WIDE), columns=rule.columns)
+            out = pd.DataFrame(np.array([make(t) for t in batch.text], dtype=np.int64).reshape(-1, PROPOSING + WIDE), columns=columns)
             out.insert(0, "doc_id", batch.doc_id.to_numpy())
             out.insert(1, "text_hash", batch.text_hash.to_numpy())
             yield out
 
-    texts = common.keyed_texts(docs).withColumn("text_hash", F.xxhash64("text"))
-    schema = "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in rule.columns)
+    schema = "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in columns)
     return _grouped(spark, texts.mapInPandas(run, schema).checkpoint(), rule).select("doc_id", "text_hash", "component_id")
 
 
