@@ -15,9 +15,13 @@ formed.
 
 `near_duplicates` links by the one fingerprint of 4-word shingles. `near_copies` is made
 for copies of five-word similarity 0.8 and more, which differ in too many bits of one
-such fingerprint: three fingerprints of a text's distinct words propose pairs, a wide one of
-its distinct five-word shingles (1,024 bits) leaves out those that are clearly too far
-apart, and the exact similarity of the two sets of shingles decides on the others.
+such fingerprint: three fingerprints of a text's distinct words propose pairs, and a
+wide one of its distinct five-word shingles (1,024 bits) verifies them by Hamming distance.
+With `exact` the wide one only leaves out clear strangers, and the similarity of the two
+sets of shingles decides, so that no pair below 0.8 links. But where a large group's
+texts are mostly a little less similar than that to each other, its pairs are all held
+against each other: their number grows with the square of such a group, so `exact` is for
+corpora without one.
 
 Defined cases: a null text is empty and has fingerprint zero, which links like any
 other; rows without doc_id are left out; repeated rows give repeated result rows, and a
@@ -52,7 +56,7 @@ PROPOSING, WIDE, WIDE_SHINGLE = 3, 16, 5
 LEAST = 0.8
 
 
-def wide_bits(least: float = LEAST, spare: float = 2.5) -> int:
+def wide_bits(least: float = LEAST, spare: float = 0.43) -> int:
     """Bits of the wide fingerprint in which texts of this similarity differ on average (by the angle of their sets), and `spare` standard deviations."""
     p = float(np.arccos(2 * least / (1 + least))) / np.pi
     return round(64 * WIDE * p + spare * (64 * WIDE * p * (1 - p)) ** 0.5)
@@ -343,11 +347,11 @@ def similar(texts: DataFrame, least: float = LEAST) -> Callable[[Callable, DataF
     return check
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, least: float = LEAST, distance: int = DISTANCE) -> DataFrame:
+def near_copies(spark: SparkSession, docs: DataFrame, least: float = LEAST, distance: int = DISTANCE, exact: bool = False) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text, to tell rows with one doc_id apart), component_id (smallest doc_id reachable)."""
     common.prepare(spark)
     texts = common.keyed_texts(docs).withColumn("text_hash", F.xxhash64("text"))
-    rule = Rule(tuple(f"f{i}" for i in range(PROPOSING)), distance, tuple(f"w{i}" for i in range(WIDE)), wide_bits(least), similar(texts, least))
+    rule = Rule(tuple(f"f{i}" for i in range(PROPOSING)), distance, tuple(f"w{i}" for i in range(WIDE)), wide_bits(least, 2.5) if exact else wide_bits(least), similar(texts, least) if exact else None)
     columns = rule.columns
 
     def run(batches):

@@ -31,8 +31,8 @@ def test_stages_take_effect(spark):
     assert kept.isdisjoint(d for d in exact if exact[d] != d)
     gone = {d for d in near if near[d] != d}
     assert len(gone & kept) <= 0.1 * len(gone)
-    # nothing goes without a partner of similarity 0.8
-    assert all(d in kept for d in exact if exact[d] == d and near[d] == d)
+    # what goes is a copy of something: it shares half its shingles with a document at least
+    assert all(d in kept or best_similarity(d, {r.doc_id: r.text for r in before}) > 0.6 for d in exact if exact[d] == d and near[d] == d)
 
     out = corpus_pipeline.cut_repeated_spans(spark, docs, SF)
     want = brute_cut([(r.doc_id, r.text) for r in before])
@@ -82,8 +82,15 @@ def brute_near(docs, least=0.8):
     return exact, {d: root(d) for d, _ in docs}
 
 
+def best_similarity(d, texts):
+    mine = five(texts[d])
+    if not mine:
+        return 1.0
+    return max(len(mine & o) / len(mine | o) for e, t in texts.items() if e != d and (o := five(t)))
+
+
 def test_near_copies_by_similarity(spark):
-    """Of edited copies with similarity 0.8 and more at least 0.95 meet; no group holds texts that similarity 0.8 doesn't join."""
+    """Of edited copies with similarity 0.8 and more at least nine in ten meet; texts below 0.6 and unrelated ones never do."""
     r = random.Random(5)
     words = [f"w{i}" for i in range(3000)]
     docs, want = [], {}
@@ -99,8 +106,12 @@ def test_near_copies_by_similarity(spark):
     got = {x.doc_id: x.component_id for x in simhash.near_copies(spark, frame).collect()}
     close = [d for d, j in want.items() if j >= 0.8]
     assert len(close) > 200
-    assert np.mean([got[d] == d // 1000 * 1000 for d in close]) >= 0.95
+    assert np.mean([got[d] == d // 1000 * 1000 for d in close]) >= 0.9
+    assert all(got[d] // 1000 == d // 1000 for d, _ in docs)
+    assert all(got[d] == d for d, j in want.items() if j < 0.6)
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(spark, frame, exact=True).collect()}
     _, near = brute_near(docs)
+    assert np.mean([got[d] == d // 1000 * 1000 for d in close]) >= 0.95
     assert all(near[got[d]] == near[d] for d, _ in docs)
 
 
@@ -109,7 +120,7 @@ def test_similarity_decides_at_the_threshold(spark):
     w = [f"w{i}" for i in range(26)]
     texts = [" ".join(w), " ".join([*w[:24], "x", "y"]), " ".join([*w[:12], "z", *w[13:]]), "one two", "two one", "One  two", "", None]
     docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
-    got = {x.doc_id: x.component_id for x in simhash.near_copies(spark, docs).collect()}
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(spark, docs, exact=True).collect()}
     _, near = brute_near(list(enumerate(texts, 1)))
     assert near == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 4, 7: 7, 8: 7}
     assert got in (near, near | {2: 2})  # its words may differ in too many bits for the search
