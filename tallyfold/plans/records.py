@@ -46,13 +46,13 @@ def predictions(t: DataFrame) -> DataFrame:
     """match_uid, t_idx, y, predictor, p, scored of the three baselines."""
     h = players.with_history(players.player_long(t)).select("match_uid", "player", "rate", "n_prior")
     s = with_sides(t).select("match_uid", "t_idx", "y", "side0", "side1")
-    s = s.join(h.toDF("match_uid", "side0", "r0", "n0"), ["match_uid", "side0"]).join(h.toDF("match_uid", "side1", "r1", "n1"), ["match_uid", "side1"])
+    s = players.by_side(s, h, ["rate", "n_prior"])
     e = ratings.elo(t).select("match_uid", "elo_w", "elo_l")
     s = s.join(e, "match_uid")
     own, other = F.when(c("y") == 1, c("elo_w")).otherwise(c("elo_l")), F.when(c("y") == 1, c("elo_l")).otherwise(c("elo_w"))
-    each = [("coinflip", F.lit(0.5)), ("elo", ratings.expectation(own, other)), ("log5", ratings.log5(c("r0"), c("r1")))]
+    each = [("coinflip", F.lit(0.5)), ("elo", ratings.expectation(own, other)), ("log5", ratings.log5(c("rate0"), c("rate1")))]
     ps = F.explode(F.array(*[F.struct(F.lit(n).alias("predictor"), p.alias("p")) for n, p in each]))
-    return s.select("match_uid", "t_idx", "y", ((c("n0") >= 3) & (c("n1") >= 3)).alias("scored"), ps.alias("x")).select("match_uid", "t_idx", "y", "scored", "x.*")
+    return s.select("match_uid", "t_idx", "y", ((c("n_prior0") >= 3) & (c("n_prior1") >= 3)).alias("scored"), ps.alias("x")).select("match_uid", "t_idx", "y", "scored", "x.*")
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -166,8 +166,7 @@ def match_feature_rows(t: DataFrame, bit: int | None = None) -> DataFrame:
     cols = [n for n, _ in DIFFS] + ["rate"]
     h = h.select("match_uid", "player", *cols)
     s = with_sides(t).join(players.head_to_head(t).select("match_uid", "h2h_lo"), "match_uid")
-    for k in (0, 1):
-        s = s.join(h.toDF("match_uid", f"side{k}", *[f"{n}{k}" for n in cols]), ["match_uid", f"side{k}"])
+    s = players.by_side(s, h, cols)
     p = ratings.log5(c("rate0"), c("rate1"))
     return s.select(
         "match_uid", "t_idx", "y", *[(c(f"{n}0") - c(f"{n}1")).cast("double").alias(out) for n, out in DIFFS], F.ln(p / (1 - p)).alias("log5_logit"),
