@@ -145,9 +145,10 @@ OPPQ = """oq AS (SELECT pl.match_uid, player, avg(CASE WHEN won = 1 THEN elo_l E
 
 
 def opponent_quality(t: DataFrame, e: DataFrame) -> DataFrame:
+    """The rows of both players with their own rating and the mean rating of the last ten opponents."""
     rows = players.player_long(t).join(e.select("match_uid", "elo_w", "elo_l"), "match_uid")
     own, opp = F.when(c("won") == 1, c("elo_w")).otherwise(c("elo_l")), F.when(c("won") == 1, c("elo_l")).otherwise(c("elo_w"))
-    return rows.select("match_uid", "player", own.alias("elo"), F.avg(opp).over(players.last(10)).alias("opp_quality"))
+    return rows.withColumn("elo", own).withColumn("opp_quality", F.avg(opp).over(players.last(10))).drop("elo_w", "elo_l")
 
 
 @query(P + ", " + ELO + ", " + OPPQ + f" SELECT match_uid, player, {r6('opp_quality')} AS opp_quality FROM oq", recursive=True)
@@ -162,7 +163,7 @@ FEATURES = [n for _, n in DIFFS] + ["log5_logit", "h2h_net_wins", "round_rank",
 
 def match_feature_rows(t: DataFrame, bit: int | None = None) -> DataFrame:
     """The twelve record features of each match, side 0 less side 1; all from before the match."""
-    h = players.with_history(players.player_long(t)).join(opponent_quality(t, ratings.elo(t)), ["match_uid", "player"])
+    h = players.with_history(opponent_quality(t, ratings.elo(t)))
     cols = [n for n, _ in DIFFS] + ["rate"]
     h = h.select("match_uid", "player", *cols)
     s = with_sides(t).join(players.head_to_head(t).select("match_uid", "h2h_lo"), "match_uid")
