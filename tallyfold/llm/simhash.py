@@ -48,7 +48,7 @@ from tallyfold.llm import common
 SHINGLE = 4
 DISTANCE = 4
 LEAST_BLOCKS = 7
-#: Star rounds, each with another centre a bucket, before buckets are joined.
+#: Star rounds, each with another centre a bucket (the first: its smallest node), before buckets are joined.
 CENTRES = (0, -1, 0x5555555555555555)
 #: Fingerprints of distinct words, longs of the wide fingerprint, words of its shingles.
 PROPOSING, WIDE, WIDE_SHINGLE = 3, 16, 5
@@ -264,12 +264,15 @@ class _Search:
         mixed = self.saved(mixed.where("low < high").select("k", "c"), "mixed")
         if mixed.isEmpty():
             return False
-        open_ = self.saved(self.held.join(mixed, "k"), "open")
+        self.hold(self.saved(self.held.join(mixed, "k"), "open"))
+        return True
+
+    def hold(self, open_: DataFrame) -> None:
+        """Holds the nodes of buckets (k, node and the bucket's centre c) against their centres."""
         self.held = open_.select("k", "node")
         # a node in many buckets is held against the first and the last of its centres alone; the rest is for the rounds to come
         ends = open_.where("node <> c").groupBy("node").agg(F.min("c").alias("first"), F.max("c").alias("last"))
         self.relabel(self.verified(ends.select("node", F.explode(F.array_distinct(F.array("first", "last"))).alias("c"))))
-        return True
 
     def cross(self) -> None:
         """Joins what is left: nodes outside a bucket's smallest label with those of smaller labels."""
@@ -289,10 +292,11 @@ def component_table(spark: SparkSession, nodes: DataFrame, rule: Rule, blocks: i
     """
     keyed = _keys(nodes, rule, blocks or blocks_for(nodes.count(), rule.distance))
     search = _Search(spark, nodes.withColumn("label", F.col("node")), rule)
-    found = keyed.groupBy("k").agg(F.min("node").alias("c"), F.max("node").alias("last")).where("c < last").select("k")
+    # the first star needs no further look: every label is a node's own, so every shared bucket is mixed, and its smallest node is the centre
+    found = keyed.groupBy("k").agg(F.min("node").alias("c"), F.max("node").alias("last")).where("c < last").select("k", "c")
     shared = search.saved(found, "shared")
-    search.held = search.saved(common.maybe_among(keyed, ["k"], shared).where("__maybe").join(shared, "k").select("k", "node"), "buckets")
-    for mask in CENTRES:
+    search.hold(search.saved(common.maybe_among(keyed, ["k"], shared).where("__maybe").join(shared, "k").select("k", "node", "c"), "buckets"))
+    for mask in CENTRES[1:]:
         if not search.star(mask):
             break
     else:

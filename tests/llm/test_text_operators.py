@@ -136,6 +136,17 @@ def brute_components(prints, distance=4):
     return {d: root(d) for d in ids}
 
 
+def test_simhash_first_star_takes_the_centres_found(spark, monkeypatch):
+    # one bucket's chain of prints: the first star needs no join of its own, and nothing is left for another
+    nodes = spark.createDataFrame([(i, (1 << i) - 1) for i in range(4)], "node long, fp long")
+    common.prepare(spark)
+    made, kept = [], common.saved
+    monkeypatch.setattr(common, "saved", lambda spark, df, name, **o: (made.append(name), kept(spark, df, name, **o))[1])
+    got = {(r.node, r.component) for r in simhash.component_table(spark, nodes, simhash.Rule(("fp",))).collect()}
+    assert got == {(i, 0) for i in range(4)}
+    assert made == ["shared", "buckets", "labelled", "mixed"]
+
+
 def test_simhash_equals_brute_force(spark, data, folder):
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op7_simhash(spark, folder).collect()}
     prints = {d: brute_simhash(t) for d, t, *_ in data}
