@@ -229,6 +229,16 @@ def test_refits_predict_every_match(spark, name, fit):
         assert got[i].p == pytest.approx(fit(x[:i], y[:i], x[i]))
 
 
+def test_refits_shuffle_no_copies_of_rows(spark):
+    """Rows travel once: the number of shuffled bytes doesn't grow with the square of the matches."""
+    rows = spark.createDataFrame([(f"m{i}", i, i % 3 % 2, float(i % 7)) for i in range(70)], "match_uid string, t_idx long, y int, a double")
+    got = models.refit_predictions(rows, ["a"], every=2, fit=lambda x, y, now: len(x) + now[0] / 10)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert sorted((r.t_idx, r.match_uid, r.y, r.p) for r in got.collect()) == [(i, f"m{i}", i % 3 % 2, i + i % 7 / 10) for i in range(0, 70, 2)]
+    assert models.refit_predictions(rows.limit(0), ["a"]).count() == 0
+
+
 def test_booster_splits_rows_before_a_drift(monkeypatch):
     """Rows more than 400 places back are told apart although later ones lie elsewhere; the fit has 150 trees."""
     r, n = np.random.default_rng(4), len(records.FEATURES)
