@@ -253,6 +253,45 @@ def test_booster_splits_rows_before_a_drift(monkeypatch):
     assert low < 0.3 < 0.6 < high and sizes == [150, 150]
 
 
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_booster_equals_splits_by_hand(depth):
+    """Sums by joint codes, a level at a time: each split is the best of all edges and sides of gaps over the rows themselves."""
+    rng = np.random.default_rng(depth)
+    x, y = np.round(rng.normal(size=(300, 5)), 1), rng.integers(0, 2, 300)
+    x[:, 3], x[:, 4] = x[:, 3] > 0, 1.0
+    x[rng.random(x.shape) < 0.1] = np.nan
+    p = boosting.BoostParams(depth=depth, trees=1, rows=1.0, columns=1.0, increasing=(1,))
+    passes, count = [], np.bincount
+
+    def grow(rows, left, low, high):
+        g, h = (0.5 - y)[rows], np.full(len(rows), 0.25)
+        weight = lambda m: np.clip(-g[m].sum() / (h[m].sum() + p.l2), low, high)
+        gain = lambda m: -(g[m].sum() * weight(m) + 0.5 * (h[m].sum() + p.l2) * weight(m) ** 2)
+        whole, best = np.ones(len(rows), dtype=bool), (1e-9, None)
+        for k in range(5 * bool(left)):
+            v = x[rows, k]
+            for edge in np.unique(v[~np.isnan(v)])[1:]:
+                for gaps_left in (True, False)[: 1 + np.isnan(v).any()]:
+                    m = np.where(np.isnan(v), gaps_left, v < edge)
+                    if min(h[m].sum(), h[~m].sum()) < p.min_hessian or k == 1 and weight(m) > weight(~m):
+                        continue
+                    if (found := gain(m) + gain(~m) - gain(whole)) > best[0] + 1e-9:
+                        best = (found, (k, m, (weight(m) + weight(~m)) / 2))
+        if best[1] is None:
+            return {int(i): float(weight(whole)) for i in rows}
+        k, m, mid = best[1]
+        return grow(rows[m], left - 1, low, min(high, mid) if k == 1 else high) | grow(rows[~m], left - 1, max(low, mid) if k == 1 else low, high)
+
+    np.bincount = lambda *a, **o: passes.append(len(a[0])) or count(*a, **o)
+    try:
+        tree = boosting.boost(x, y, p)[0]
+    finally:
+        np.bincount = count
+    want = grow(np.arange(300), depth, -np.inf, np.inf)
+    assert tree.predict(x) == pytest.approx([want[i] for i in range(300)])
+    assert sum(passes) <= 2 * 5 * 300 * depth  # two passes over the rows for each group of columns at a level, whatever its number of nodes
+
+
 def test_booster_is_monotone():
     rng = np.random.default_rng(1)
     x = np.round(rng.normal(size=(400, 2)), 1)
