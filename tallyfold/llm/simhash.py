@@ -277,13 +277,17 @@ class _Search:
     def cross(self) -> None:
         """Joins what is left: nodes outside a bucket's smallest label with those of smaller labels."""
         members = self.saved(self.held.join(self.nodes, "node"), "members")
-        mixed = members.groupBy("k").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select(F.col("k").alias("mixed"), "low")
-        open_ = members.join(mixed, F.col("k") == F.col("mixed")).drop("mixed")
-        left, right = _prefixed(open_.where("label > low"), "x_"), _prefixed(open_, "y_")
+        left, right = _prefixed(above_lowest(members), "x_"), _prefixed(members, "y_")
         pairs = left.join(right, (F.col("x_k") == F.col("y_k")) & (F.col("y_label") < F.col("x_label")) & self.rule.near("x_", "y_"))
         self.relabel(self.linked(pairs))
 
 
+def above_lowest(members: DataFrame) -> DataFrame:
+    """The rows (k, label and more) whose label isn't the smallest of their bucket k; a bucket of one label has none."""
+    lows = members.groupBy(F.col("k").alias("bucket")).agg(F.min("label").alias("low"))
+    return members.join(lows, (F.col("k") == F.col("bucket")) & (F.col("label") > F.col("low"))).drop("bucket", "low")
+
+
 def component_table(spark: SparkSession, nodes: DataFrame, rule: Rule, blocks: int | None = None) -> DataFrame:
     """nodes (a written table of node and the rule's columns) with component, the smallest node reachable.
 

@@ -147,6 +147,13 @@ def test_simhash_first_star_takes_the_centres_found(spark, monkeypatch):
     assert made == ["shared", "buckets", "labelled", "mixed"]
 
 
+def test_simhash_last_join_takes_rows_above_the_lowest_label(spark):
+    # a large group of one label and one other row: the group's rows don't go on
+    rows = [(7, i, 0) for i in range(50)] + [(7, 50, 3), (8, 1, 2), (8, 2, 2), (9, 1, 5), (9, 2, 4)]
+    got = simhash.above_lowest(spark.createDataFrame(rows, "k long, node long, label long")).collect()
+    assert sorted(map(tuple, got)) == [(7, 50, 3), (9, 1, 5)]
+
+
 def test_simhash_equals_brute_force(spark, data, folder):
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op7_simhash(spark, folder).collect()}
     prints = {d: brute_simhash(t) for d, t, *_ in data}
