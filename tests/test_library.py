@@ -239,6 +239,39 @@ def test_refits_shuffle_no_copies_of_rows(spark):
     assert models.refit_predictions(rows.limit(0), ["a"]).count() == 0
 
 
+def test_successive_logistic_refits(monkeypatch):
+    """Each is that of its own rows, by few passes: also where gaps, columns and their first differences come in on the way."""
+    r, n = np.random.default_rng(3), 500
+    x = r.normal(size=(n, 6)) * [0.5, 20, 300, 1, 1, 1]
+    x[:, 5] = r.integers(0, 2, n)
+    early = r.random(n) < np.minimum(0.5, 20 / (1 + np.arange(n)))
+    x[early, 1] = x[early, 2] = np.nan
+    x[:250, 3], x[300, 3], x[:200, 4] = 0.1, np.nan, np.nan
+    y = (r.random(n) < 1 / (1 + np.exp(-x[:, 0] - np.nan_to_num(x[:, 2]) / 200))).astype(int)
+    want, passes, alone = [models.fit_predict(x[:i], y[:i], x[i]) for i in range(n)], [], []
+    expansion, fit = models._expansion, models.fit_predict
+    monkeypatch.setattr(models, "ALONE", 64)
+    monkeypatch.setattr(models, "_expansion", lambda *a, **o: passes.append(1) or expansion(*a, **o))
+    monkeypatch.setattr(models, "fit_predict", lambda *a: alone.append(1) or fit(*a))
+    assert list(models.logistic_walk(x, y, 0, n)) == pytest.approx(want, abs=3e-7)
+    for lo, hi in ((70, 71), (195, 206), (248, 256), (299, 303), (480, 500)):
+        assert list(models.logistic_walk(x, y, lo, hi)) == pytest.approx(want[lo:hi], abs=3e-7)
+    assert len(alone) == 64
+    long = r.normal(size=(30_040, 3))
+    late, passes[:] = (r.random(30_040) < 1 / (1 + np.exp(-long[:, 0]))).astype(int), []
+    assert list(models.logistic_walk(long, late, 30_000, 30_040))[-1] == pytest.approx(fit(long[:-1], late[:-1], long[-1]), abs=3e-7)
+    assert len(passes) < 20  # two passes and more for each of the 40 refits otherwise
+
+
+def test_constant_column_has_no_weight():
+    """A gap filled with the only known value leaves a constant column, whatever rounding makes of its deviation."""
+    r = np.random.default_rng(5)
+    x, y = np.column_stack([r.normal(size=401), np.full(401, np.nan)]), r.integers(0, 2, 401)
+    x[400, 1] = 0.1
+    low, high = (models.fit_predict(x, y, np.array([0.0, v])) for v in (-3.0, 3.0))
+    assert low == pytest.approx(high, abs=1e-9)
+
+
 def test_booster_splits_rows_before_a_drift(monkeypatch):
     """Rows more than 400 places back are told apart although later ones lie elsewhere; the fit has 150 trees."""
     r, n = np.random.default_rng(4), len(records.FEATURES)
